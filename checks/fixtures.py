@@ -221,8 +221,8 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("2024-01-01T"), F.lpad((pos % 24).cast("string"), 2, "0"), F.lit(":00:00Z")).alias("timestamp"),
         F.when(v != 7, checked).alias("guardrailTrace"))
     block = F.floor(pos / SESSION_EVENTS)
-    grouped = (c.select(conv, block.alias("block"), F.struct((-pos).alias("back"), event.alias("event")).alias("x"))
-               .groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("x")).alias("events")))
+    grouped = (c.select(conv, block.alias("block"), F.struct(pos.alias("pos"), event.alias("event")).alias("x"))
+               .groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("x"), lambda a, b: b.pos - a.pos).alias("events")))
     return grouped.select(F.to_json(F.struct(
         F.concat(F.lit("bot"), (conv % 5).cast("string")).alias("agentId"),
         F.concat(F.lit("sess_"), conv.cast("string"), F.lit("_"), F.col("block").cast("string")).alias("sessionId"),

@@ -13,8 +13,6 @@ from hopsight.schema import KEY
 from hopsight.session import bounded
 
 HEAVY_ROWS = 1_000_000
-_EDGE = ["topology_id", "edge_ord", F.col("first.trust_boundary").alias("edge_boundary"),
-         F.col("first.edge_risk_level").alias("edge_risk")]
 
 
 class PathChecks:
@@ -50,7 +48,8 @@ class PathChecks:
 
     @staticmethod
     def on_edges(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
-        side = edges.select(*HOP, *_EDGE)
+        side = edges.select(*HOP, "topology_id", "edge_ord", F.col("first.trust_boundary").alias("edge_boundary"),
+                            F.col("first.edge_risk_level").alias("edge_risk"))
         return rows.join(bounded(side) if heavy else side, HOP)
 
     def along_paths(self, rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:

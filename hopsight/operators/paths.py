@@ -31,6 +31,7 @@ class Topologies:
     keys: DataFrame            # key, topology_id, names, node_count, high_risk_node_count, first_final
     edges: DataFrame           # rollup columns + topology_id, edge_ord; few-edge keys, by key
     wide_edges: DataFrame | None   # the same for keys with many edges
+    wide_nodes: DataFrame | None   # key, node_ord, node_name of those keys
     paths: DataFrame           # topology_id, path_idx, path_type, labels, edge_ords
 
 
@@ -56,14 +57,16 @@ def build(edges: DataFrame, wide_edges: int = WIDE_EDGES, max_hops: int | None =
         few = edges.join(wide_keys, KEY, "left_anti")
         many = edges.join(wide_keys, KEY, "left_semi")
     keys, shape_edges, shape_nodes, ordered = _few(few)
-    wide = None
+    wide = wide_nodes = None
     if many is not None:
-        wide_info, wide, wide_shape_edges, wide_shape_nodes = _many(many)
+        wide_info, wide, wide_shape_edges, nodes = _many(many)
+        wide_shape_nodes = nodes.select("topology_id", "label", "node_ord", "kind")
+        wide_nodes = nodes.select(*KEY, "node_ord", F.col("label").alias("node_name"))
         keys = keys.unionByName(wide_info)
         shape_edges = shape_edges.unionByName(wide_shape_edges)
         shape_nodes = shape_nodes.unionByName(wide_shape_nodes)
     paths = _enumerate(shape_edges, shape_nodes, max_hops, max_paths)
-    return Topologies(keys, ordered, wide, paths)
+    return Topologies(keys, ordered, wide, wide_nodes, paths)
 
 
 def _few(edges: DataFrame):
@@ -114,7 +117,7 @@ def _many(edges: DataFrame):
                  F.when(F.col("kind") == "final", F.col("node_ord"))).alias("first_final"))
     shape_edges = ordered.select("topology_id", "edge_ord", F.col("source_node").alias("src"),
                                  F.col("target_node").alias("tgt"))
-    return info, ordered, shape_edges, nodes.select("topology_id", "label", "node_ord", "kind")
+    return info, ordered, shape_edges, nodes
 
 
 def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None, max_paths: int | None) -> DataFrame:
@@ -188,5 +191,11 @@ def path_table(topo: Topologies) -> DataFrame:
                     node_names("labels", "names").alias("path_nodes"), "edge_ords"))
 
 
+def ordered_nodes(topo: Topologies) -> DataFrame:
+    """Every node with its position by first appearance."""
+    few = topo.keys.select(*KEY, F.posexplode("names").alias("node_ord", "node_name"))
+    return few if topo.wide_nodes is None else few.unionByName(topo.wide_nodes)
+
+
 def edges_on_paths(paths: DataFrame) -> DataFrame:
     return paths.select("topology_id", "path_idx", "path_type", F.posexplode("edge_ords").alias("pos", "edge_ord"))
