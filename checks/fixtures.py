@@ -53,12 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer splits than cores is spread before it is expanded."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def _by_type(values: list, kind: Column) -> Column:
-    return _pick(values, kind)
+def _pick(values: list, index: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
 def _hash12(text: Column) -> Column:
@@ -67,22 +69,21 @@ def _hash12(text: Column) -> Column:
 
 def order_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one workflow per order; acyclic graphs that reach every plan rule."""
-    edges = F.array(*[F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(
-        ("ord", "source_node", "target_node", "trust_boundary", "node_type"), e)]) for e in template_edges(t)[0]])
-        for t in TEMPLATES])
-    mids = [template_edges(t)[1] for t in TEMPLATES]
+    rows = []
+    for number, text in enumerate(TEMPLATES):
+        edges, middle = template_edges(text)
+        rows += [(number, *e, middle, len(edges)) for e in edges]
+    hops = spark.createDataFrame(rows, "t long, ord int, source_node string, target_node string, trust_boundary string, "
+                                       "node_type string, mid int, edges int")
     k, b, t = F.col("k"), F.col("b"), F.col("t")
-    o = table(spark, sf_dir, "orders").select(
+    o = spread(table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cu"), F.col("o_orderpriority").alias("pr"),
         F.col("o_orderdate").alias("day"), (F.col("o_orderkey") % 12).alias("t"),
-        (F.floor(F.col("o_orderkey") / 12) % 7).alias("b"))
-    hops = F.get(edges, t.cast("int"))
+        (F.floor(F.col("o_orderkey") / 12) % 7).alias("b")), "k")
     cut = b.isin(1, 6)
-    o = (o.withColumn("mid", _pick(mids, t))
-         .withColumn("hops", F.filter(hops, lambda e: ~(cut & (e.trust_boundary == TO_FINAL))))
-         .withColumn("ne", F.size("hops")))
     rounds = F.when(k % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    r = (o.select("*", F.explode("hops").alias("e")).drop("hops").select("*", "e.*").drop("e")
+    r = (o.join(F.broadcast(hops), "t").filter(~(cut & (F.col("trust_boundary") == TO_FINAL)))
+         .withColumn("ne", F.col("edges") - cut.cast("int"))
          .select("*", F.explode(rounds).alias("gi"))
          .filter(~((F.col("gi") == 1) & (F.col("ord") == 1) & (k % 6 == 0))))
     ord_, gi, mid, pr = F.col("ord"), F.col("gi"), F.col("mid"), F.col("pr")
@@ -101,8 +102,8 @@ def order_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text": F.col("cu") % 10 + F.when((b == 3) & late, 1).otherwise(0),
         "text_in": F.col("cu") % 10 + F.when((b == 3) & (ord_ - 1 >= mid), 1).otherwise(0)})
     mult = F.when(F.col("risk_level") == "medium", 115).when(F.col("risk_level") == "high", 135).otherwise(100)
-    cents = F.floor(_by_type(BASE_LATENCY_MS, F.col("kind")) * mult * (85 + (k * 31 + ord_ * 17) % 41) / 100)
-    micro = F.floor(_by_type(BASE_COST_MICRO_USD, F.col("kind")) * mult * (90 + (k * 13 + ord_ * 7) % 21) / 10000)
+    cents = F.floor(_pick(BASE_LATENCY_MS, F.col("kind")) * mult * (85 + (k * 31 + ord_ * 17) % 41) / 100)
+    micro = F.floor(_pick(BASE_COST_MICRO_USD, F.col("kind")) * mult * (90 + (k * 13 + ord_ * 7) % 21) / 10000)
     result = F.col("guardrail_result")
     key = k.cast("string")
     name = F.col("target_node")
@@ -164,7 +165,7 @@ def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 0, "WARN").when(n == 1, "BLOCK").otherwise("PASS").alias("guardrail_result"),
         F.lit("NONE").alias("severity"), F.lit(0.5).alias("confidence"),
         F.col("value").cast(MONEY).alias("latency_ms"),
-        (F.col("value") / 1000000).cast(MONEY).alias("estimated_cost_usd"),
+        (F.floor("value").cast("decimal(18,6)") / 1000000).cast(MONEY).alias("estimated_cost_usd"),
         F.date_trunc("second", "ts").cast("timestamp_ntz").cast("string").alias("timestamp"),
         F.lit("sessions").alias("workflow_template"), F.lit("events").alias("behavior_pattern"),
     ).select(*TRACE.fieldNames()).checkpoint()

@@ -79,7 +79,7 @@ trace AS MATERIALIZED (SELECT
   risk risk_level, risk edge_risk_level,
   CASE event_id % 10 WHEN 0 THEN 'WARN' WHEN 1 THEN 'BLOCK' ELSE 'PASS' END guardrail_result, 'NONE' severity,
   CAST(0.5 AS DOUBLE) confidence, CAST("value" AS DECIMAL(18, 6)) latency_ms,
-  CAST("value" / 1000000 AS DECIMAL(18, 6)) estimated_cost_usd,
+  CAST(CAST(floor("value") AS DECIMAL(18, 6)) / 1000000 AS DECIMAL(18, 6)) estimated_cost_usd,
   CAST(date_trunc('second', ts) AS VARCHAR) "timestamp", 'sessions' workflow_template, 'events' behavior_pattern
   FROM ek)"""
 

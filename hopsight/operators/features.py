@@ -11,7 +11,6 @@ from hopsight.operators.path_checks import PathChecks
 from hopsight.operators.paths import node_names
 from hopsight.policy import AGENT_TO_TOOL, INTERNAL, TO_FINAL, TOOL_TO_AGENT
 from hopsight.schema import KEY
-from hopsight.session import bounded
 
 FEATURE_COLUMNS = [
     "workflow_id", "request_id", "node_count", "edge_count", "max_path_length", "total_guardrail_calls",
@@ -62,8 +61,9 @@ def _repeats(path_checks: PathChecks) -> DataFrame:
 
 
 def _busiest_path(path_checks: PathChecks) -> DataFrame:
-    on_paths = bounded(path_checks.on_paths)
-    paths = path_checks.topo.paths.select("topology_id", "path_idx", "labels")
+    topo = path_checks.topo
+    on_paths = topo.side(topo.on_paths)
+    paths = topo.paths.select("topology_id", "path_idx", "labels")
 
     def part(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
         scored = (edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra"))
@@ -73,8 +73,8 @@ def _busiest_path(path_checks: PathChecks) -> DataFrame:
                 .agg(F.max(F.struct("score", (-F.col("path_idx")).alias("rank"))).alias("best"))
                 .select(*KEY, "topology_id", (-F.col("best.rank")).alias("path_idx")))
 
-    return (path_checks.per_part(part).join(bounded(paths), ["topology_id", "path_idx"])
-            .join(path_checks.topo.keys.select(*KEY, "names"), KEY)
+    return (path_checks.per_part(part).join(topo.side(paths), ["topology_id", "path_idx"])
+            .join(topo.keys.select(*KEY, "names"), KEY)
             .select(*KEY, F.array_join(node_names("labels", "names"), " -> ").alias("highest_redundancy_path")))
 
 
@@ -83,7 +83,7 @@ def workflow_features(path_checks: PathChecks, weights: dict) -> DataFrame:
     sums = reduce(DataFrame.unionByName, [_edge_sums(e, weights) for _, e, _ in path_checks.parts])
     routes = topo.paths.groupBy("topology_id").agg(
         F.count("*").alias("path_count"), F.max(F.size("edge_ords")).alias("max_path_length"))
-    nodes = (topo.keys.join(bounded(routes), "topology_id", "left")
+    nodes = (topo.keys.join(topo.side(routes), "topology_id", "left")
              .select(*KEY, "node_count", "high_risk_node_count", "path_count", "max_path_length"))
     joined = (sums.join(nodes, KEY).join(_repeats(path_checks), KEY)
               .join(_busiest_path(path_checks), KEY, "left"))

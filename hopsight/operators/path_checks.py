@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hopsight.functions.ordered import previous_in_group
 from hopsight.operators.graph import HOP
-from hopsight.operators.paths import Topologies, edges_on_paths
+from hopsight.operators.paths import Topologies
 from hopsight.schema import KEY
 from hopsight.session import bounded
 
@@ -25,24 +25,27 @@ class PathChecks:
 
     def __init__(self, rows: DataFrame, topo: Topologies, heavy_rows: int = HEAVY_ROWS):
         self.topo = topo
-        self.on_paths = edges_on_paths(topo.paths)
-        edges = topo.edges
-        usage = self.on_paths.groupBy("topology_id", "edge_ord").agg(F.count("*").alias("uses"))
-        load = (edges.join(bounded(usage), ["topology_id", "edge_ord"], "left")
-                .groupBy(*KEY).agg(F.sum(F.col("check_count") * F.coalesce("uses", F.lit(1))).alias("load")))
-        heavy_edges = topo.wide_edges
+        edges, heavy_edges = topo.edges, topo.wide_edges
         self.parts: list[tuple[DataFrame, DataFrame, bool]] = []
-        if (load.agg(F.max("load")).first()[0] or 0) > heavy_rows:
-            keys = bounded(load.filter(F.col("load") > heavy_rows).select(*KEY).checkpoint())
-            hot = edges.join(keys, KEY, "left_semi").checkpoint()
-            edges = edges.join(keys, KEY, "left_anti")
-            heavy_edges = hot if heavy_edges is None else heavy_edges.unionByName(hot)
+        if topo.max_load > heavy_rows:
+            keys = self._heavy_keys(heavy_rows)
+            if not keys.isEmpty():
+                keys = bounded(keys)
+                hot = edges.join(keys, KEY, "left_semi").checkpoint()
+                edges = edges.join(keys, KEY, "left_anti")
+                heavy_edges = hot if heavy_edges is None else heavy_edges.unionByName(hot)
         if heavy_edges is not None:
             heavy_keys = bounded(heavy_edges.select(*KEY).distinct())
             self.parts.append((rows.join(heavy_keys, KEY, "left_semi"), heavy_edges, True))
             rows = rows.join(heavy_keys, KEY, "left_anti")
         self.parts.insert(0, (rows, edges, False))
 
+    def _heavy_keys(self, heavy_rows: int) -> DataFrame:
+        uses = self.topo.on_paths.groupBy("topology_id", "edge_ord").agg(F.count("*").alias("uses"))
+        load = F.sum(F.col("check_count") * F.coalesce("uses", F.lit(1)))
+        return (self.topo.edges.join(self.topo.side(uses), ["topology_id", "edge_ord"], "left")
+                .groupBy(*KEY).agg(load.alias("load")).filter(F.col("load") > heavy_rows).select(*KEY).checkpoint())
+
     def per_part(self, build) -> DataFrame:
         return reduce(DataFrame.unionByName, [build(*part) for part in self.parts])
 
@@ -54,7 +57,8 @@ class PathChecks:
 
     def along_paths(self, rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
         """One row per check and path, with `prev`: the check of its type just before it."""
-        placed = self.on_edges(rows, edges, heavy).join(bounded(self.on_paths), ["topology_id", "edge_ord"])
+        placed = self.on_edges(rows, edges, heavy).join(
+            self.topo.side(self.topo.on_paths), ["topology_id", "edge_ord"])
         group = [*KEY, "path_idx", "guardrail_type"]
         order = ["step_id", "pos", "tie"]
         value = F.struct("step_id", "risk_level", "text_hash", "policy_id", "guardrail_result")

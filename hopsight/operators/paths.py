@@ -7,15 +7,15 @@ with many edges is its own topology and stays in rows, so no array grows with th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hopsight.functions.ordered import position_in_group
 from hopsight.operators.graph import node_rollup
 from hopsight.schema import KEY
-from hopsight.session import bounded
+from hopsight.session import BROADCAST_ROWS, bounded, is_small
 
 WIDE_EDGES = 256
 WIDE_PATHS = 1_000_000
@@ -33,6 +33,18 @@ class Topologies:
     wide_edges: DataFrame | None   # the same for keys with many edges
     wide_nodes: DataFrame | None   # key, node_ord, node_name of those keys
     paths: DataFrame           # topology_id, path_idx, path_type, labels, edge_ords
+    path_edges: int            # rows of `on_paths`
+    max_load: int              # no key expands to more (check, path) rows than this
+
+    @property
+    def on_paths(self) -> DataFrame:
+        """One row per edge of a path."""
+        return self.paths.select("topology_id", "path_idx", "path_type",
+                                 F.posexplode("edge_ords").alias("pos", "edge_ord"))
+
+    def side(self, df: DataFrame) -> DataFrame:
+        """Broadcast `df`, which has at most the rows of `on_paths`, if those are proven few."""
+        return F.broadcast(df) if self.path_edges <= BROADCAST_ROWS else df
 
 
 def path_id() -> Column:
@@ -46,17 +58,17 @@ def node_names(labels: str, names: str) -> Column:
             .otherwise(F.transform(labels, lambda i: F.get(F.col(names), i.try_cast("int")))))
 
 
-def build(edges: DataFrame, wide_edges: int = WIDE_EDGES, max_hops: int | None = None,
-          max_paths: int | None = None) -> Topologies:
-    """`edges` is the persisted edge rollup."""
-    sizes = edges.groupBy(*KEY).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+def build(edges: DataFrame, hold: Callable[[DataFrame], DataFrame], wide_edges: int = WIDE_EDGES,
+          max_hops: int | None = None, max_paths: int | None = None) -> Topologies:
+    """`edges` is the persisted edge rollup; `hold` persists tables that several results read."""
+    sizes = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("check_count").alias("checks"))
+    most_edges, most_checks = (x or 0 for x in sizes.agg(F.max("n"), F.max("checks")).first())
     few, many = edges, None
-    if largest > wide_edges:
+    if most_edges > wide_edges:
         wide_keys = bounded(sizes.filter(F.col("n") > wide_edges).select(*KEY))
         few = edges.join(wide_keys, KEY, "left_anti")
         many = edges.join(wide_keys, KEY, "left_semi")
-    keys, shape_edges, shape_nodes, ordered = _few(few)
+    keys, shape_edges, shape_nodes, ordered = _few(few, hold)
     wide = wide_nodes = None
     if many is not None:
         wide_info, wide, wide_shape_edges, nodes = _many(many)
@@ -65,31 +77,43 @@ def build(edges: DataFrame, wide_edges: int = WIDE_EDGES, max_hops: int | None =
         keys = keys.unionByName(wide_info)
         shape_edges = shape_edges.unionByName(wide_shape_edges)
         shape_nodes = shape_nodes.unionByName(wide_shape_nodes)
-    paths = _enumerate(shape_edges, shape_nodes, max_hops, max_paths)
-    return Topologies(keys, ordered, wide, wide_nodes, paths)
+    paths = _enumerate(shape_edges, shape_nodes, max_hops)
+    per_graph = paths.groupBy("topology_id").agg(F.count("*").alias("n"), F.sum(F.size("edge_ords")).alias("edges"))
+    path_edges, most_paths = (x or 0 for x in per_graph.agg(F.sum("edges"), F.max("n")).first())
+    if max_paths is not None and most_paths > max_paths:
+        raise PathExplosion(f"a graph has {most_paths} paths, more than {max_paths}")
+    return Topologies(keys, ordered, wide, wide_nodes, paths, path_edges, most_checks * max(most_paths, 1))
 
 
-def _few(edges: DataFrame):
-    by_key = edges.repartition(*KEY)
-    node = F.struct("shown.step_id", "shown.tie", "shown.role", "node_name", "shown.node_type", "shown.risk_level")
-    nodes = node_rollup(by_key).groupBy(*KEY).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+def _few(edges: DataFrame, hold: Callable[[DataFrame], DataFrame]):
     payload = [c for c in edges.columns if c not in KEY]
     hop = F.struct(F.col("first.step_id"), F.col("first.tie"), *payload)
-    hops = by_key.groupBy(*KEY).agg(F.array_sort(F.collect_list(hop)).alias("hops"))
-    joined = hops.join(nodes, KEY).withColumn("names", F.col("nodes.node_name"))
+    hops = edges.groupBy(*KEY).agg(F.array_sort(F.collect_list(hop)).alias("hops"))
+    # A node is shown by the first hop that touches it, as its source if it is both ends.
+    named = hops.withColumn("names", F.array_distinct(F.flatten(
+        F.transform("hops", lambda h: F.array(h.source_node, h.target_node)))))
+    shown = F.transform("names", lambda n: F.struct(n.alias("node"), F.get(F.filter(
+        "hops", lambda h: (h.source_node == n) | (h.target_node == n)), F.lit(0)).alias("hop")))
+    nodes = F.transform("shown", lambda s: F.struct(
+        s.node.alias("node_name"),
+        F.when(s.hop.source_node != s.node, s.hop["first"].node_type)
+        .when(s.node == "User", "user").otherwise("agent").alias("node_type"),
+        s.hop["first"].risk_level.alias("risk_level")))
+    joined = named.withColumn("shown", shown).withColumn("nodes", nodes)
     kinds = F.transform("nodes", lambda n: F.when(n.node_type.isin("user", "final"), n.node_type).otherwise("-"))
     links = F.transform("hops", lambda h: F.concat_ws(
         ">", F.array_position("names", h.source_node) - 1, F.array_position("names", h.target_node) - 1))
-    shaped = joined.withColumn("kinds", kinds).withColumn("links", links).withColumn(
-        "topology_id", F.sha2(F.concat_ws("|", F.array_join("kinds", ","), F.array_join("links", ",")), 256))
-    keys = shaped.select(
-        *KEY, "topology_id", "names", F.size("nodes").alias("node_count"),
+    topology = F.sha2(F.concat_ws("|", F.array_join("kinds", ","), F.array_join("links", ",")), 256)
+    # Held by key: every later join and window on keys starts from this partitioning.
+    shaped = hold(joined.withColumn("kinds", kinds).withColumn("links", links).select(
+        *KEY, topology.alias("topology_id"), "names", "kinds", "links", "hops", F.size("nodes").alias("node_count"),
         F.size(F.filter("nodes", lambda n: n.risk_level == "high")).alias("high_risk_node_count"),
-        F.get(F.filter("nodes", lambda n: n.node_type == "final"), F.lit(0)).node_name.alias("first_final"))
+        F.get(F.filter("nodes", lambda n: n.node_type == "final"), F.lit(0)).node_name.alias("first_final")))
+    keys = shaped.select(*KEY, "topology_id", "names", "node_count", "high_risk_node_count", "first_final")
     ordered = (shaped.select(*KEY, "topology_id", F.posexplode("hops").alias("edge_ord", "hop"))
                .select(*KEY, "topology_id", "edge_ord", *[F.col(f"hop.{c}") for c in payload]))
-    shapes = shaped.groupBy("topology_id").agg(F.any_value("kinds").alias("kinds"), F.any_value("links").alias("links"))
-    shapes = shapes.persist(StorageLevel.MEMORY_AND_DISK)
+    shapes = hold(shaped.groupBy("topology_id")
+                  .agg(F.any_value("kinds").alias("kinds"), F.any_value("links").alias("links")))
     shape_edges = (shapes.select("topology_id", F.posexplode("links").alias("edge_ord", "link"))
                    .select("topology_id", "edge_ord", F.substring_index("link", ">", 1).alias("src"),
                            F.substring_index("link", ">", -1).alias("tgt")))
@@ -120,7 +144,7 @@ def _many(edges: DataFrame):
     return info, ordered, shape_edges, nodes
 
 
-def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None, max_paths: int | None) -> DataFrame:
+def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None) -> DataFrame:
     start = (nodes.filter("kind = 'user'").groupBy("topology_id")
              .agg(F.min_by("label", "node_ord").alias("start")))
     with_out = edges.select("topology_id", F.col("src").alias("label"), F.lit(True).alias("goes_on")).distinct()
@@ -131,10 +155,12 @@ def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None, max_pat
     hops = (edges.filter("src <> tgt").join(ends, ["topology_id", "tgt"])
             .select("topology_id", F.col("src").alias("node"), "tgt", "edge_ord", "node_ord", "goes_on", "end_kind")
             .checkpoint())
-    hops = bounded(hops)
+    few = is_small(hops)
     walks = start.select("topology_id", F.col("start").alias("node"), F.array("start").alias("labels"),
                          F.array().cast("array<int>").alias("edge_ords"))
-    found, depth = [], 0
+    if few:
+        hops, walks = F.broadcast(hops), walks.coalesce(1)
+    found, depth, tasks, seen = [], 0, 1, 0
     while True:
         step = (walks.join(hops, ["topology_id", "node"])
                 .filter(~F.array_contains("labels", F.col("tgt")))
@@ -145,13 +171,13 @@ def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None, max_pat
         rows = step.count()
         if rows == 0:
             break
-        depth += 1
+        depth, seen = depth + 1, seen + rows
         if max_hops is not None and depth > max_hops:
             raise PathExplosion(f"walks go on after {max_hops} hops")
         found.append(step.filter("end_kind IS NOT NULL"))
         walks = step.filter("goes_on").select("topology_id", "node", "labels", "edge_ords")
-        tasks = -(-rows // FRONTIER_ROWS_PER_TASK)
-        if tasks > step.rdd.getNumPartitions():
+        if few and rows > tasks * FRONTIER_ROWS_PER_TASK:
+            tasks = -(-2 * rows // FRONTIER_ROWS_PER_TASK)
             walks = walks.repartition(tasks, "topology_id", "node", "edge_ords")
     spark = edges.sparkSession
     if not found:
@@ -164,18 +190,19 @@ def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None, max_pat
     final = ended.filter("end_kind = 0")
     covered = final.select("topology_id", F.explode("edge_ords").alias("edge_ord")).distinct()
     dead = (ended.filter("end_kind = 1").select("*", F.explode("edge_ords").alias("edge_ord"))
-            .join(bounded(covered), ["topology_id", "edge_ord"], "left_anti").drop("edge_ord").distinct())
-    return _number(final.unionByName(dead), max_paths)
+            .join(F.broadcast(covered) if few else covered, ["topology_id", "edge_ord"], "left_anti")
+            .drop("edge_ord").distinct())
+    return _number(final.unionByName(dead), seen)
 
 
-def _number(ended: DataFrame, max_paths: int | None) -> DataFrame:
-    from pyspark.sql import Window as W
+def _number(ended: DataFrame, at_most: int) -> DataFrame:
+    """Number the paths of a graph; `at_most` bounds how many paths there are in all."""
     order = ["end_kind", "end_ord", "edge_ords"]
-    ended = ended.checkpoint()
-    most = ended.groupBy("topology_id").count().agg(F.max("count")).first()[0] or 0
-    if max_paths is not None and most > max_paths:
-        raise PathExplosion(f"a graph has {most} paths, more than {max_paths}")
-    if most > WIDE_PATHS:
+    wide = False
+    if at_most > WIDE_PATHS:
+        ended = ended.checkpoint()
+        wide = (ended.groupBy("topology_id").count().agg(F.max("count")).first()[0] or 0) > WIDE_PATHS
+    if wide:
         numbered = position_in_group(ended, ["topology_id"], order, "path_idx")
     else:
         numbered = ended.withColumn(
@@ -186,7 +213,7 @@ def _number(ended: DataFrame, max_paths: int | None) -> DataFrame:
 
 def path_table(topo: Topologies) -> DataFrame:
     """All paths of all keys, named and numbered."""
-    return (topo.keys.join(bounded(topo.paths), "topology_id")
+    return (topo.keys.join(topo.side(topo.paths), "topology_id")
             .select(*KEY, "path_idx", "path_type", path_id().alias("path_id"),
                     node_names("labels", "names").alias("path_nodes"), "edge_ords"))
 
@@ -195,7 +222,3 @@ def ordered_nodes(topo: Topologies) -> DataFrame:
     """Every node with its position by first appearance."""
     few = topo.keys.select(*KEY, F.posexplode("names").alias("node_ord", "node_name"))
     return few if topo.wide_nodes is None else few.unionByName(topo.wide_nodes)
-
-
-def edges_on_paths(paths: DataFrame) -> DataFrame:
-    return paths.select("topology_id", "path_idx", "path_type", F.posexplode("edge_ords").alias("pos", "edge_ord"))

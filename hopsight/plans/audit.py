@@ -6,10 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from hopsight.operators.paths import Topologies, edges_on_paths
+from hopsight.operators.paths import Topologies
 from hopsight.policy import MOVE, REUSE, SKIP
 from hopsight.schema import KEY
-from hopsight.session import bounded
 
 
 def plan_accounting(trace: DataFrame, plan: DataFrame) -> DataFrame:
@@ -25,7 +24,7 @@ def plan_accounting(trace: DataFrame, plan: DataFrame) -> DataFrame:
 
 def uncovered_edges(topo: Topologies) -> DataFrame:
     """Edges on no path; their checks are absent from the plan."""
-    covered = bounded(edges_on_paths(topo.paths).select("topology_id", "edge_ord").distinct())
+    covered = topo.side(topo.on_paths.select("topology_id", "edge_ord").distinct())
     parts = [topo.edges] + ([topo.wide_edges] if topo.wide_edges is not None else [])
     return reduce(DataFrame.unionByName, [
         e.join(covered, ["topology_id", "edge_ord"], "left_anti")

@@ -46,7 +46,7 @@ def explanations(plan: DataFrame, paths: DataFrame, request_times: DataFrame, to
     """
     real = plan.filter("step_id <> -1")
     impact = (real.groupBy("workflow_id").agg(F.count_if("safe_to_optimize").alias("impact"))
-              .orderBy(F.desc("impact"), "workflow_id").limit(top_n))
+              .orderBy(F.desc("impact"), "workflow_id").limit(top_n).checkpoint())
     top = F.broadcast(impact)
     rows = real.join(top, "workflow_id").join(
         request_times.join(top.select("workflow_id"), "workflow_id", "left_semi"), ["workflow_id", "request_id"])
@@ -68,7 +68,9 @@ def explanations(plan: DataFrame, paths: DataFrame, request_times: DataFrame, to
                                    "recommended_action", "audit_required", "original_latency_ms",
                                    "original_cost_usd")).alias("g"))
                .select("workflow_id", "g.*"))
-    told = workflow.join(largest, "workflow_id").withColumn("request_id", F.col("first_row.request_id"))
+    # At most `top_n` rows, read twice below.
+    told = (workflow.join(largest, "workflow_id").withColumn("request_id", F.col("first_row.request_id"))
+            .coalesce(1).checkpoint())
     wanted = told.select("workflow_id", "request_id", F.col("graph_path_id").alias("path_id"))
     texts = (paths.join(F.broadcast(wanted), ["workflow_id", "request_id", "path_id"])
              .select("workflow_id", F.array_join("path_nodes", " -> ").alias("path_text")))

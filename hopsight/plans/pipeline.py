@@ -64,7 +64,7 @@ class Analysis:
     @cached_property
     def topologies(self) -> paths.Topologies:
         wide_edges, _, max_hops, max_paths = self._limits
-        return paths.build(self.rollup, wide_edges, max_hops, max_paths)
+        return paths.build(self.rollup, self._hold, wide_edges, max_hops, max_paths)
 
     @cached_property
     def path_checks(self) -> PathChecks:

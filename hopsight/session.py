@@ -12,13 +12,14 @@ BROADCAST_ROWS = 200_000
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the plans rely on; each can be overridden after the call.
 
-    Joins on (key, more) may then reuse a partitioning by key, and AQE may split a skewed
+    Joins on (key, more) may then reuse a partitioning by key, also of a persisted table, and AQE may split a skewed
     join even if that costs a later stage its partitioning.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "false")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
