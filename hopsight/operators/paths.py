@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from hopsight import session
 from hopsight.functions.ordered import position_in_group
 from hopsight.operators.graph import node_rollup
 from hopsight.schema import KEY
-from hopsight.session import BROADCAST_ROWS, bounded, is_small
+from hopsight.session import bounded, is_small
 
 WIDE_EDGES = 256
 WIDE_PATHS = 1_000_000
@@ -44,7 +45,7 @@ class Topologies:
 
     def side(self, df: DataFrame) -> DataFrame:
         """Broadcast `df`, which has at most the rows of `on_paths`, if those are proven few."""
-        return F.broadcast(df) if self.path_edges <= BROADCAST_ROWS else df
+        return F.broadcast(df) if self.path_edges <= session.BROADCAST_ROWS else df
 
 
 def path_id() -> Column:

@@ -31,10 +31,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame) -> DataFrame:
     """`df` with a broadcast hint if it is proven small; else a plain side for a shuffle join."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    return F.broadcast(df) if is_small(df) else df
