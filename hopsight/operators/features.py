@@ -62,12 +62,12 @@ def _repeats(path_checks: PathChecks) -> DataFrame:
 
 def _busiest_path(path_checks: PathChecks) -> DataFrame:
     topo = path_checks.topo
-    on_paths = topo.side(topo.on_paths)
+    steps = topo.side(topo.path_steps)
     paths = topo.paths.select("topology_id", "path_idx", "labels")
 
     def part(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
         scored = (edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra"))
-                  .join(on_paths, ["topology_id", "edge_ord"])
+                  .join(steps, ["topology_id", "edge_ord"])
                   .groupBy(*KEY, "topology_id", "path_idx").agg(F.sum("extra").alias("score")))
         return (scored.groupBy(*KEY, "topology_id")
                 .agg(F.max(F.struct("score", (-F.col("path_idx")).alias("rank"))).alias("best"))

@@ -41,7 +41,7 @@ class PathChecks:
         self.parts.insert(0, (rows, edges, False))
 
     def _heavy_keys(self, heavy_rows: int) -> DataFrame:
-        uses = self.topo.on_paths.groupBy("topology_id", "edge_ord").agg(F.count("*").alias("uses"))
+        uses = self.topo.path_steps.groupBy("topology_id", "edge_ord").agg(F.count("*").alias("uses"))
         load = F.sum(F.col("check_count") * F.coalesce("uses", F.lit(1)))
         return (self.topo.edges.join(self.topo.side(uses), ["topology_id", "edge_ord"], "left")
                 .groupBy(*KEY).agg(load.alias("load")).filter(F.col("load") > heavy_rows).select(*KEY).checkpoint())
@@ -53,12 +53,13 @@ class PathChecks:
     def on_edges(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
         side = edges.select(*HOP, "topology_id", "edge_ord", F.col("first.trust_boundary").alias("edge_boundary"),
                             F.col("first.edge_risk_level").alias("edge_risk"))
-        return rows.join(bounded(side) if heavy else side, HOP)
+        # Ordinary keys have few edges and spread evenly, so a hash table per partition saves both sorts.
+        return rows.join(bounded(side) if heavy else side.hint("shuffle_hash"), HOP)
 
     def along_paths(self, rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
         """One row per check and path, with `prev`: the check of its type just before it."""
         placed = self.on_edges(rows, edges, heavy).join(
-            self.topo.side(self.topo.on_paths), ["topology_id", "edge_ord"])
+            self.topo.side(self.topo.path_steps), ["topology_id", "edge_ord"])
         group = [*KEY, "path_idx", "guardrail_type"]
         order = ["step_id", "pos", "tie"]
         value = F.struct("step_id", "risk_level", "text_hash", "policy_id", "guardrail_result")

@@ -34,17 +34,12 @@ class Topologies:
     wide_edges: DataFrame | None   # the same for keys with many edges
     wide_nodes: DataFrame | None   # key, node_ord, node_name of those keys
     paths: DataFrame           # topology_id, path_idx, path_type, labels, edge_ords
-    path_edges: int            # rows of `on_paths`
+    path_steps: DataFrame      # topology_id, path_idx, path_type, pos, edge_ord, first_path
+    path_edges: int            # rows of `path_steps`
     max_load: int              # no key expands to more (check, path) rows than this
 
-    @property
-    def on_paths(self) -> DataFrame:
-        """One row per edge of a path."""
-        return self.paths.select("topology_id", "path_idx", "path_type",
-                                 F.posexplode("edge_ords").alias("pos", "edge_ord"))
-
     def side(self, df: DataFrame) -> DataFrame:
-        """Broadcast `df`, which has at most the rows of `on_paths`, if those are proven few."""
+        """Broadcast `df`, which has at most the rows of `path_steps`, if those are proven few."""
         return F.broadcast(df) if self.path_edges <= session.BROADCAST_ROWS else df
 
 
@@ -83,7 +78,10 @@ def build(edges: DataFrame, hold: Callable[[DataFrame], DataFrame], wide_edges:
     path_edges, most_paths = (x or 0 for x in per_graph.agg(F.sum("edges"), F.max("n")).first())
     if max_paths is not None and most_paths > max_paths:
         raise PathExplosion(f"a graph has {most_paths} paths, more than {max_paths}")
-    return Topologies(keys, ordered, wide, wide_nodes, paths, path_edges, most_checks * max(most_paths, 1))
+    steps = paths.select("topology_id", "path_idx", "path_type", F.posexplode("edge_ords").alias("pos", "edge_ord"))
+    first = steps.groupBy("topology_id", "edge_ord").agg(F.min("path_idx").alias("first_path"))
+    steps = steps.join(first, ["topology_id", "edge_ord"]).checkpoint()
+    return Topologies(keys, ordered, wide, wide_nodes, paths, steps, path_edges, most_checks * max(most_paths, 1))
 
 
 def _few(edges: DataFrame, hold: Callable[[DataFrame], DataFrame]):

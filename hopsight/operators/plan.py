@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hopsight.operators.path_checks import PathChecks
 from hopsight.operators.paths import path_id
@@ -72,12 +72,16 @@ def executed_rows(path_checks: PathChecks, policy: dict, strict: bool = False) -
     def part(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
         judged = path_checks.along_paths(rows, edges, heavy).withColumn("v", decide(policy, strict))
         # A check on several paths ran once: the first path that holds it decides.
-        chosen = F.min(F.struct(
-            "path_idx", "pos", "tie", "node_id", "source_node", "target_node", "agent_name",
-            "guardrail_type", "policy_id", "text_hash", "edge_boundary", "risk_level", "latency_ms",
-            "estimated_cost_usd", "path_type", "v")).alias("c")
-        return judged.groupBy(*KEY, "step_id").agg(chosen).select(*KEY, "step_id", "c.*")
-
+        judged = judged.filter("path_idx = first_path")
+        place = ["path_idx", "pos", "tie"]
+        if not heavy:
+            rank = F.row_number().over(W.partitionBy(*KEY, "step_id").orderBy(*place))
+            return judged.withColumn("rank", rank).filter("rank = 1").select(*KEY, "step_id", *columns)
+        return (judged.groupBy(*KEY, "step_id").agg(F.min(F.struct(*place, *[c for c in columns if c != "path_idx"])).alias("c"))
+                .select(*KEY, "step_id", *[F.col(f"c.{c}") for c in columns]))
+
+    columns = ["path_idx", "node_id", "source_node", "target_node", "agent_name", "guardrail_type", "policy_id",
+               "text_hash", "edge_boundary", "risk_level", "latency_ms", "estimated_cost_usd", "path_type", "v"]
     rows = path_checks.per_part(part)
     held_back = (F.col("path_type") == "orphan_branch") & F.col("v.decision").isin(SKIP, REUSE)
     rows = rows.withColumn("recommended_decision", F.when(held_back, KEEP).otherwise(F.col("v.decision")))
