@@ -42,6 +42,7 @@ def main() -> None:
     registry.release()
     begun = time.time()
     run = registry.analysis(spark, sf_dir, "orders")
+    run.hold_checks()
     for table in (run.nodes, run.edges, run.plan, run.redundant, run.features, run.metrics, run.scenarios,
                   run.boundary_matrix, run.explanations()):
         table.write.format("noop").mode("overwrite").save()

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from hopsight.operators.graph import is_protected
-from hopsight.operators.path_checks import PathChecks
+from hopsight.operators.path_checks import Part, PathChecks
 from hopsight.operators.paths import node_names
 from hopsight.policy import AGENT_TO_TOOL, INTERNAL, TO_FINAL, TOOL_TO_AGENT
 from hopsight.schema import KEY
@@ -44,12 +42,12 @@ def _edge_sums(edges: DataFrame, weights: dict) -> DataFrame:
 
 def _repeats(path_checks: PathChecks) -> DataFrame:
     """Repeats over the whole workflow, whatever the path; two levels so no group is gathered."""
-    def part(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
+    def build(part: Part) -> DataFrame:
         internal = F.col("edge_boundary").eqNullSafe(INTERNAL)
-        groups = path_checks.on_edges(rows, edges, heavy).groupBy(
+        groups = part.on_edges().groupBy(
             *KEY, "guardrail_type", "policy_id", "text_hash").agg(
             F.count("*").alias("n"), F.count_if(internal).alias("internal"),
-            F.min(F.struct("step_id", "edge_ord", "tie", internal.alias("internal"))).alias("f"))
+            F.min(F.struct("step_id", "edge_ord", internal.alias("internal"))).alias("f"))
         texts = groups.groupBy(*KEY, "text_hash").agg(
             F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("dup"),
             F.sum(F.col("internal") - F.col("f.internal").cast("int")).alias("again"))
@@ -57,7 +55,7 @@ def _repeats(path_checks: PathChecks) -> DataFrame:
             F.sum("dup").alias("duplicate_guardrail_groups"), F.sum("again").alias("redundant_internal_checks"),
             (F.sum("n") - F.count("*")).alias("repeated_text_hash_count"))
 
-    return path_checks.per_part(part)
+    return path_checks.per_part(build)
 
 
 def _busiest_path(path_checks: PathChecks) -> DataFrame:
@@ -65,22 +63,22 @@ def _busiest_path(path_checks: PathChecks) -> DataFrame:
     steps = topo.side(topo.path_steps)
     paths = topo.paths.select("topology_id", "path_idx", "labels")
 
-    def part(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
-        scored = (edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra"))
+    def build(part: Part) -> DataFrame:
+        scored = (part.edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra"))
                   .join(steps, ["topology_id", "edge_ord"])
                   .groupBy(*KEY, "topology_id", "path_idx").agg(F.sum("extra").alias("score")))
         return (scored.groupBy(*KEY, "topology_id")
                 .agg(F.max(F.struct("score", (-F.col("path_idx")).alias("rank"))).alias("best"))
                 .select(*KEY, "topology_id", (-F.col("best.rank")).alias("path_idx")))
 
-    return (path_checks.per_part(part).join(topo.side(paths), ["topology_id", "path_idx"])
+    return (path_checks.per_part(build).join(topo.side(paths), ["topology_id", "path_idx"])
             .join(topo.keys.select(*KEY, "names"), KEY)
             .select(*KEY, F.array_join(node_names("labels", "names"), " -> ").alias("highest_redundancy_path")))
 
 
 def workflow_features(path_checks: PathChecks, weights: dict) -> DataFrame:
     topo = path_checks.topo
-    sums = reduce(DataFrame.unionByName, [_edge_sums(e, weights) for _, e, _ in path_checks.parts])
+    sums = path_checks.per_part(lambda part: _edge_sums(part.edges, weights))
     routes = topo.paths.groupBy("topology_id").agg(
         F.count("*").alias("path_count"), F.max(F.size("edge_ords")).alias("max_path_length"))
     nodes = (topo.keys.join(topo.side(routes), "topology_id", "left")

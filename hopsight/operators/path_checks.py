@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -13,6 +14,26 @@ from hopsight.schema import KEY
 from hopsight.session import bounded
 
 HEAVY_ROWS = 1_000_000
+_CARRIED = ["step_id", "tie", "node_id", "agent_name", "guardrail_type", "policy_id", "text_hash", "text_changed",
+            "risk_level", "guardrail_result", "latency_ms", "estimated_cost_usd"]
+
+
+class Part:
+    """Keys that take the same route: their checks and their edges."""
+
+    def __init__(self, rows: DataFrame, edges: DataFrame, heavy: bool):
+        self.rows, self.edges, self.heavy = rows, edges, heavy
+        self.held: DataFrame | None = None
+
+    def on_edges(self) -> DataFrame:
+        """Each check with its edge's boundary, risk, order and topology."""
+        if self.held is not None:
+            return self.held
+        side = self.edges.select(*HOP, "topology_id", "edge_ord", F.col("first.trust_boundary").alias("edge_boundary"),
+                                 F.col("first.edge_risk_level").alias("edge_risk"))
+        # Ordinary keys spread evenly, so a hash table per partition saves both sorts.
+        side = bounded(side) if self.heavy else side.hint("shuffle_hash")
+        return self.rows.select(*HOP, *_CARRIED).join(side, HOP)
 
 
 class PathChecks:
@@ -25,44 +46,42 @@ class PathChecks:
 
     def __init__(self, rows: DataFrame, topo: Topologies, heavy_rows: int = HEAVY_ROWS):
         self.topo = topo
-        edges, heavy_edges = topo.edges, topo.wide_edges
-        self.parts: list[tuple[DataFrame, DataFrame, bool]] = []
+        tables = [topo.edges] + ([topo.wide_edges] if topo.wide_edges is not None else [])
+        routes, heavy = [], None
         if topo.max_load > heavy_rows:
-            keys = self._heavy_keys(heavy_rows)
-            if not keys.isEmpty():
-                keys = bounded(keys)
-                hot = edges.join(keys, KEY, "left_semi").checkpoint()
-                edges = edges.join(keys, KEY, "left_anti")
-                heavy_edges = hot if heavy_edges is None else heavy_edges.unionByName(hot)
-        if heavy_edges is not None:
-            heavy_keys = bounded(heavy_edges.select(*KEY).distinct())
-            self.parts.append((rows.join(heavy_keys, KEY, "left_semi"), heavy_edges, True))
-            rows = rows.join(heavy_keys, KEY, "left_anti")
-        self.parts.insert(0, (rows, edges, False))
-
-    def _heavy_keys(self, heavy_rows: int) -> DataFrame:
-        uses = self.topo.path_steps.groupBy("topology_id", "edge_ord").agg(F.count("*").alias("uses"))
+            found = self._heavy_keys(tables, heavy_rows)
+            if not found.isEmpty():
+                keys = bounded(found)
+                heavy = reduce(DataFrame.unionByName, [t.join(keys, KEY, "left_semi") for t in tables]).checkpoint()
+                tables = [t.join(keys, KEY, "left_anti") for t in tables]
+                routes.append(Part(rows.join(keys, KEY, "left_semi"), heavy, True))
+                rows = rows.join(keys, KEY, "left_anti")
+        if len(tables) > 1:
+            keys = bounded(topo.wide_edges.select(*KEY).distinct())
+            routes.append(Part(rows.join(keys, KEY, "left_semi"), tables[1], False))
+            rows = rows.join(keys, KEY, "left_anti")
+        self.parts = [Part(rows, tables[0], False), *routes]
+
+    def _heavy_keys(self, tables: list[DataFrame], heavy_rows: int) -> DataFrame:
+        uses = self.topo.side(self.topo.path_steps.groupBy("topology_id", "edge_ord").agg(F.count("*").alias("uses")))
         load = F.sum(F.col("check_count") * F.coalesce("uses", F.lit(1)))
-        return (self.topo.edges.join(self.topo.side(uses), ["topology_id", "edge_ord"], "left")
-                .groupBy(*KEY).agg(load.alias("load")).filter(F.col("load") > heavy_rows).select(*KEY).checkpoint())
+        loads = [t.join(uses, ["topology_id", "edge_ord"], "left").groupBy(*KEY).agg(load.alias("load")) for t in tables]
+        return reduce(DataFrame.unionByName, loads).filter(F.col("load") > heavy_rows).select(*KEY).checkpoint()
 
-    def per_part(self, build) -> DataFrame:
-        return reduce(DataFrame.unionByName, [build(*part) for part in self.parts])
+    def hold(self, hold: Callable[[DataFrame], DataFrame]) -> None:
+        """Keep the placed checks for several readers instead of shuffling the trace for each."""
+        for part in self.parts:
+            part.held = part.held if part.held is not None else hold(part.on_edges())
 
-    @staticmethod
-    def on_edges(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
-        side = edges.select(*HOP, "topology_id", "edge_ord", F.col("first.trust_boundary").alias("edge_boundary"),
-                            F.col("first.edge_risk_level").alias("edge_risk"))
-        # Ordinary keys have few edges and spread evenly, so a hash table per partition saves both sorts.
-        return rows.join(bounded(side) if heavy else side.hint("shuffle_hash"), HOP)
+    def per_part(self, build: Callable[[Part], DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [build(part) for part in self.parts])
 
-    def along_paths(self, rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
+    def along_paths(self, part: Part) -> DataFrame:
         """One row per check and path, with `prev`: the check of its type just before it."""
-        placed = self.on_edges(rows, edges, heavy).join(
-            self.topo.side(self.topo.path_steps), ["topology_id", "edge_ord"])
+        placed = part.on_edges().join(self.topo.side(self.topo.path_steps), ["topology_id", "edge_ord"])
         group = [*KEY, "path_idx", "guardrail_type"]
         order = ["step_id", "pos", "tie"]
         value = F.struct("step_id", "risk_level", "text_hash", "policy_id", "guardrail_result")
-        if heavy:
+        if part.heavy:
             return previous_in_group(placed, group, order, value, "prev")
         return placed.withColumn("prev", F.lag(value).over(W.partitionBy(*group).orderBy(*order)))

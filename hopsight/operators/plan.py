@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hopsight.operators.path_checks import PathChecks
+from hopsight.operators.path_checks import Part, PathChecks
 from hopsight.operators.paths import path_id
 from hopsight.policy import KEEP, MOVE, REUSE, REVIEW, SKIP, TO_FINAL
 from hopsight.schema import KEY, MONEY
@@ -69,12 +69,12 @@ def decide(policy: dict, strict: bool) -> Column:
 
 def executed_rows(path_checks: PathChecks, policy: dict, strict: bool = False) -> DataFrame:
     """Plan columns and `path_idx` for every check that lies on a path."""
-    def part(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
-        judged = path_checks.along_paths(rows, edges, heavy).withColumn("v", decide(policy, strict))
+    def build(part: Part) -> DataFrame:
+        judged = path_checks.along_paths(part).withColumn("v", decide(policy, strict))
         # A check on several paths ran once: the first path that holds it decides.
         judged = judged.filter("path_idx = first_path")
         place = ["path_idx", "pos", "tie"]
-        if not heavy:
+        if not part.heavy:
             rank = F.row_number().over(W.partitionBy(*KEY, "step_id").orderBy(*place))
             return judged.withColumn("rank", rank).filter("rank = 1").select(*KEY, "step_id", *columns)
         return (judged.groupBy(*KEY, "step_id").agg(F.min(F.struct(*place, *[c for c in columns if c != "path_idx"])).alias("c"))
@@ -82,7 +82,7 @@ def executed_rows(path_checks: PathChecks, policy: dict, strict: bool = False) -
 
     columns = ["path_idx", "node_id", "source_node", "target_node", "agent_name", "guardrail_type", "policy_id",
                "text_hash", "edge_boundary", "risk_level", "latency_ms", "estimated_cost_usd", "path_type", "v"]
-    rows = path_checks.per_part(part)
+    rows = path_checks.per_part(build)
     held_back = (F.col("path_type") == "orphan_branch") & F.col("v.decision").isin(SKIP, REUSE)
     rows = rows.withColumn("recommended_decision", F.when(held_back, KEEP).otherwise(F.col("v.decision")))
     rows = rows.withColumn("reason", F.when(

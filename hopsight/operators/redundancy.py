@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hopsight.operators.path_checks import PathChecks
+from hopsight.operators.path_checks import Part, PathChecks
 from hopsight.operators.paths import path_id
 from hopsight.operators.plan import differs, isin
 from hopsight.policy import KEEP, REUSE, REVIEW, SKIP
@@ -39,14 +39,14 @@ def redundant_checks(path_checks: PathChecks, paths: DataFrame, policy: dict) ->
                 .when(F.col("risk_level").eqNullSafe("low"), SKIP)
                 .otherwise(REUSE))
 
-    def part(rows: DataFrame, edges: DataFrame, heavy: bool) -> DataFrame:
-        repeated = (path_checks.along_paths(rows, edges, heavy).filter("prev IS NOT NULL")
+    def build(part: Part) -> DataFrame:
+        repeated = (path_checks.along_paths(part).filter("prev IS NOT NULL")
                     .withColumn("blocks", blocks).withColumn("recommended_decision", decision))
         text = paths.select(*KEY, "path_idx", F.array_join("path_nodes", " -> ").alias("path_nodes"))
         return repeated.join(text, [*KEY, "path_idx"])
 
     joined = F.array_join("blocks", ";")
-    return path_checks.per_part(part).select(
+    return path_checks.per_part(build).select(
         *KEY, path_id().alias("path_id"), "path_type", "path_nodes", "guardrail_type", "policy_id", "text_hash",
         F.col("prev.step_id").alias("first_step_id"), F.col("step_id").alias("duplicate_step_id"),
         F.when(F.size("blocks") == 0, "same_guardrail_same_text_same_policy").otherwise(joined)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -77,7 +77,7 @@ class Analysis:
     @cached_property
     def plan_with_paths(self) -> DataFrame:
         """The plan plus `path_idx`, which orders a workflow's rows."""
-        gaps = plan_ops.missing_final_rows([e for _, e, _ in self.path_checks.parts], self.topologies.keys)
+        gaps = plan_ops.missing_final_rows([p.edges for p in self.path_checks.parts], self.topologies.keys)
         return self._hold(plan_ops.executed_rows(self.path_checks, self.policy, self.strict).unionByName(gaps))
 
     @property
@@ -106,9 +106,8 @@ class Analysis:
 
     @cached_property
     def request_times(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [
-            e.groupBy(*KEY).agg(F.min("first_timestamp").alias("request_time"))
-            for _, e, _ in self.path_checks.parts])
+        return self.path_checks.per_part(
+            lambda part: part.edges.groupBy(*KEY).agg(F.min("first_timestamp").alias("request_time")))
 
     def explanations(self, top_n: int = 25) -> DataFrame:
         return explain.explanations(self.plan_with_paths, self.paths, self.request_times, top_n)
@@ -119,9 +118,14 @@ class Analysis:
     def accounting(self) -> DataFrame:
         return audit.plan_accounting(self.trace, self.plan)
 
+    def hold_checks(self) -> None:
+        """Worth its space when plan, redundancy and features are all wanted: one shuffle for three."""
+        self.path_checks.hold(self._hold)
+
     def write(self, folder: str, format: str = "parquet", top_n: int = 25) -> None:
         """Check contracts and gates first, then write every table; a failed gate writes nothing."""
         schema.require_trace(self.trace)
+        self.hold_checks()
         schema.require_plan(self.plan)
         schema.require_redundant(self.redundant)
         schema.require_metrics(self.metrics)

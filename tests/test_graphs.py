@@ -18,6 +18,8 @@ def tied(analysis, spark):
 def check(spark, rows, strict=False, **limits):
     a = Analysis(brute.frame(spark, rows), strict=strict, **limits)
     rows = tied(a, spark)
+    if strict:
+        a.hold_checks()
     plan = [tuple(r) for r in a.plan.select(
         "workflow_id", "request_id", "step_id", "target_node", "guardrail_type", "recommended_decision", "reason",
         "reused_from_step_id", "graph_path_id", "audit_required").collect()]
