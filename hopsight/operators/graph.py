@@ -25,12 +25,16 @@ _CHECK_COLUMNS = [
     "edge_risk_level", "guardrail_result", "latency_ms", "estimated_cost_usd", "timestamp",
 ]
 
+PATH_COLUMNS = ["node_id", "agent_name", "guardrail_type", "policy_id", "text_hash", "text_changed", "risk_level",
+                "guardrail_result", "latency_ms", "estimated_cost_usd"]
+
 
 def checks(trace: DataFrame) -> DataFrame:
-    """The trace columns that the graph stages read, plus `tie`.
+    """The trace columns that the graph stages read, plus two tie-breaks.
 
-    `tie` orders rows of one key that share a step. Rows with equal ties agree in every
-    column read here, so their order cannot change a result.
+    They order rows of one key that share a step: `tie` where graphs are built, `path_tie` along
+    paths, each over the columns read there only. Rows with equal ties agree in those columns, so
+    their order cannot change a result.
     """
     have = set(trace.columns)
     fill = {"edge_risk_level": F.col("risk_level")}
@@ -39,6 +43,7 @@ def checks(trace: DataFrame) -> DataFrame:
     named = trace.select(*HOP, "step_id", *cols).withColumn(
         "text_changed", F.coalesce("text_changed", F.lit(False)))
     named = named.withColumn("tie", F.xxhash64(*HOP, "step_id", *_CHECK_COLUMNS))
+    named = named.withColumn("path_tie", F.xxhash64(*HOP, "step_id", *PATH_COLUMNS))
     for name, default in {"_node_id": F.concat_ws("_", "request_id", "target_node"),
                           "_node_type": F.lit("agent"), "_agent_name": F.col("target_node"),
                           "_input_text_hash": F.lit(""), "_output_text_hash": F.lit("")}.items():

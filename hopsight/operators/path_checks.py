@@ -8,14 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hopsight.functions.ordered import previous_in_group
-from hopsight.operators.graph import HOP
+from hopsight.operators.graph import HOP, PATH_COLUMNS
 from hopsight.operators.paths import Topologies
 from hopsight.schema import KEY
 from hopsight.session import bounded
 
 HEAVY_ROWS = 1_000_000
-_CARRIED = ["step_id", "tie", "node_id", "agent_name", "guardrail_type", "policy_id", "text_hash", "text_changed",
-            "risk_level", "guardrail_result", "latency_ms", "estimated_cost_usd"]
 
 
 class Part:
@@ -33,7 +31,7 @@ class Part:
                                  F.col("first.edge_risk_level").alias("edge_risk"))
         # Ordinary keys spread evenly, so a hash table per partition saves both sorts.
         side = bounded(side) if self.heavy else side.hint("shuffle_hash")
-        return self.rows.select(*HOP, *_CARRIED).join(side, HOP)
+        return self.rows.select(*HOP, "step_id", "path_tie", *PATH_COLUMNS).join(side, HOP)
 
 
 class PathChecks:
@@ -80,7 +78,7 @@ class PathChecks:
         """One row per check and path, with `prev`: the check of its type just before it."""
         placed = part.on_edges().join(self.topo.side(self.topo.path_steps), ["topology_id", "edge_ord"])
         group = [*KEY, "path_idx", "guardrail_type"]
-        order = ["step_id", "pos", "tie"]
+        order = ["step_id", "pos", "path_tie"]
         value = F.struct("step_id", "risk_level", "text_hash", "policy_id", "guardrail_result")
         if part.heavy:
             return previous_in_group(placed, group, order, value, "prev")

@@ -73,7 +73,7 @@ def executed_rows(path_checks: PathChecks, policy: dict, strict: bool = False) -
         judged = path_checks.along_paths(part).withColumn("v", decide(policy, strict))
         # A check on several paths ran once: the first path that holds it decides.
         judged = judged.filter("path_idx = first_path")
-        place = ["path_idx", "pos", "tie"]
+        place = ["path_idx", "pos", "path_tie"]
         if not part.heavy:
             rank = F.row_number().over(W.partitionBy(*KEY, "step_id").orderBy(*place))
             return judged.withColumn("rank", rank).filter("rank = 1").select(*KEY, "step_id", *columns)
