@@ -66,10 +66,10 @@ class PathChecks:
         loads = [t.join(uses, ["topology_id", "edge_ord"], "left").groupBy(*KEY).agg(load.alias("load")) for t in tables]
         return reduce(DataFrame.unionByName, loads).filter(F.col("load") > heavy_rows).select(*KEY).checkpoint()
 
-    def hold(self, hold: Callable[[DataFrame], DataFrame]) -> None:
+    def hold(self, hold: Callable[..., DataFrame]) -> None:
         """Keep the placed checks for several readers instead of shuffling the trace for each."""
         for part in self.parts:
-            part.held = part.held if part.held is not None else hold(part.on_edges())
+            part.held = part.held if part.held is not None else hold(part.on_edges(), keep_partitioning=True)
 
     def per_part(self, build: Callable[[Part], DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, [build(part) for part in self.parts])

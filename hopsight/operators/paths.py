@@ -54,7 +54,7 @@ def node_names(labels: str, names: str) -> Column:
             .otherwise(F.transform(labels, lambda i: F.get(F.col(names), i.try_cast("int")))))
 
 
-def build(edges: DataFrame, hold: Callable[[DataFrame], DataFrame], wide_edges: int = WIDE_EDGES,
+def build(edges: DataFrame, hold: Callable[..., DataFrame], wide_edges: int = WIDE_EDGES,
           max_hops: int | None = None, max_paths: int | None = None) -> Topologies:
     """`edges` is the persisted edge rollup; `hold` persists tables that several results read."""
     sizes = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("check_count").alias("checks"))
@@ -84,7 +84,7 @@ def build(edges: DataFrame, hold: Callable[[DataFrame], DataFrame], wide_edges:
     return Topologies(keys, ordered, wide, wide_nodes, paths, steps, path_edges, most_checks * max(most_paths, 1))
 
 
-def _few(edges: DataFrame, hold: Callable[[DataFrame], DataFrame]):
+def _few(edges: DataFrame, hold: Callable[..., DataFrame]):
     payload = [c for c in edges.columns if c not in KEY]
     hop = F.struct(F.col("first.step_id"), F.col("first.tie"), *payload)
     hops = edges.groupBy(*KEY).agg(F.array_sort(F.collect_list(hop)).alias("hops"))
@@ -107,7 +107,8 @@ def _few(edges: DataFrame, hold: Callable[[DataFrame], DataFrame]):
     shaped = hold(joined.withColumn("kinds", kinds).withColumn("links", links).select(
         *KEY, topology.alias("topology_id"), "names", "kinds", "links", "hops", F.size("nodes").alias("node_count"),
         F.size(F.filter("nodes", lambda n: n.risk_level == "high")).alias("high_risk_node_count"),
-        F.get(F.filter("nodes", lambda n: n.node_type == "final"), F.lit(0)).node_name.alias("first_final")))
+        F.get(F.filter("nodes", lambda n: n.node_type == "final"), F.lit(0)).node_name.alias("first_final")),
+        keep_partitioning=True)
     keys = shaped.select(*KEY, "topology_id", "names", "node_count", "high_risk_node_count", "first_final")
     ordered = (shaped.select(*KEY, "topology_id", F.posexplode("hops").alias("edge_ord", "hop"))
                .select(*KEY, "topology_id", "edge_ord", *[F.col(f"hop.{c}") for c in payload]))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from hopsight import schema
@@ -13,7 +12,7 @@ from hopsight.operators.path_checks import HEAVY_ROWS, PathChecks
 from hopsight.plans import audit, explain, metrics as metric_ops, serving
 from hopsight.policy import DEFAULT_POLICY
 from hopsight.schema import KEY
-from hopsight.session import tune
+from hopsight.session import persist, tune
 from hopsight.sources import sinks
 
 
@@ -36,8 +35,8 @@ class Analysis:
         self._limits = (wide_edges, heavy_rows, max_hops, max_paths)
         self._held: list[DataFrame] = []
 
-    def _hold(self, df: DataFrame) -> DataFrame:
-        self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    def _hold(self, df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+        self._held.append(persist(df, keep_partitioning))
         return self._held[-1]
 
     def release(self) -> None:

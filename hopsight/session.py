@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
@@ -12,14 +13,13 @@ BROADCAST_ROWS = 200_000
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings the plans rely on; each can be overridden after the call.
 
-    Joins on (key, more) may then reuse a partitioning by key, also of a persisted table, and AQE may split a skewed
+    Joins on (key, more) may then reuse a partitioning by key, and AQE may split a skewed
     join even if that costs a later stage its partitioning.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "false")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +31,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def persist(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """Persist `df`; AQE may merge its small partitions unless later joins build on them."""
+    conf, name = df.sparkSession.conf, "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    before = conf.get(name)
+    conf.set(name, str(not keep_partitioning).lower())
+    try:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        conf.set(name, before)
+
+
 def is_small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
