@@ -38,7 +38,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as byte planes: slowly growing values become runs of equal bytes."""
     parts = [np.array([len(arrays[0])], np.int64).tobytes()]
     for a in arrays:
-        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
     return b"".join(parts)
 
 
