@@ -27,7 +27,7 @@ from .common import read
 
 #: Bytes of text in a piece, and in the documents behind one bucket. Raise both together at a size where
 #: buckets outnumber the entries of a piece.
-PIECE, BUCKET = 8 << 20, 16 << 20
+PIECE, BUCKET = 8 << 20, 4 << 20
 
 _LAST = np.int64(2**63 - 1)
 _ROWS = "bucket int, piece long, kind int, body binary"
@@ -251,8 +251,8 @@ def dedup(docs: DataFrame, window: int = 20, piece: int = PIECE) -> DataFrame:
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
-    buckets = size // BUCKET + 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as the joins below take, so that they reuse the exchange
+    buckets = max(parts, size // BUCKET + 1)
     dealt = (docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
              .repartition(parts, "row_key").sortWithinPartitions("row_key"))
 
