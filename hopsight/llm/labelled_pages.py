@@ -44,16 +44,22 @@ def _words(rng: random.Random, low: int, high: int) -> str:
     return text + rng.choice([".", ".", ".", "", "!"])
 
 
+def _prose(rng: random.Random, low: int, high: int) -> str:
+    """Words of an article; some mention what other blocks are known by."""
+    text = _words(rng, low, high)
+    return f"{text} {rng.choice(rng.choice(list(_CUES.values())))} {_words(rng, 1, 12)}" if rng.random() < .15 else text
+
+
 def _article_block(rng: random.Random, y: str) -> str:
     kind = rng.random()
     if kind < .7:
-        return f"<p {y}>{_words(rng, 1, 90)}</p>"
+        return f"<p {y}>{_prose(rng, 1, 90)}</p>"
     if kind < .8:
-        return f"<h2 {y}>{_words(rng, 1, 8)}</h2>"
+        return f"<h2 {y}>{_prose(rng, 1, 8)}</h2>"
     if kind < .88:
-        return "<ul>" + "".join(f"<li {y}>{_words(rng, 1, 15)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+        return "<ul>" + "".join(f"<li {y}>{_prose(rng, 1, 15)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
     tag = rng.choice(["blockquote", "pre", "div", "figcaption", "td"])
-    return f"<{tag} {y}>{_words(rng, 2, 60)}</{tag}>"
+    return f"<{tag} {y}>{_prose(rng, 2, 60)}</{tag}>"
 
 
 def _other(rng: random.Random, kind: str) -> str:
