@@ -28,6 +28,8 @@ SCALE = 1 << 20
 PIECE, CELLS, BOUND = 1 << 20, 1 << 22, 1 << 13
 
 UNKNOWN = "und"
+#: A text whose best cosine is not above chance is of no learned language.
+MIN_SCORE = 0.02
 
 
 @cache
@@ -142,7 +144,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
     return names, _units(out)
 
 
-def _predict(names: list[str], prototypes: np.ndarray) -> Callable:
+def _predict(names: list[str], prototypes: np.ndarray, drop: str | None) -> Callable:
+    """Adds the language and the score to the columns but `drop`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
             vectors = profiles(piece.column("text"))
@@ -151,9 +154,9 @@ def _predict(names: list[str], prototypes: np.ndarray) -> Callable:
             best = cosine.argmax(axis=1)
             score = np.clip(cosine[np.arange(len(best)), best], 0, 1) * known
             lang = [names[b] if k and names else UNKNOWN for b, k in zip(best, known, strict=True)]
-            columns = [piece.column(c) for c in piece.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[c for c in piece.schema.names if c != "text"] + ["lang_pred", "score"])
+            kept = [c for c in piece.schema.names if c != drop]
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             names=[*kept, "_lang_pred", "_lang_score"])
     return run
 
 
@@ -170,8 +173,18 @@ def identify(docs: DataFrame, labelled: DataFrame, train_docs: int = TRAIN_DOCS)
     columns are not looked at.
     """
     names, prototypes = learn(labelled, train_docs)
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInArrow(_predict(names, prototypes), "doc_id long, lang_pred string, score double"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        _predict(names, prototypes, "text"), "doc_id long, _lang_pred string, _lang_score double")
+    return rows.withColumnsRenamed({"_lang_pred": "lang_pred", "_lang_score": "score"})
+
+
+def accepted(docs: DataFrame, labelled: DataFrame, min_score: float = MIN_SCORE, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of `docs` whose language is told with a score above `min_score`; columns unchanged. 'und' is rejected."""
+    names, prototypes = learn(labelled, train_docs)
+    rows = docs.drop("_lang_pred", "_lang_score")
+    schema = rows.schema.add("_lang_pred", "string").add("_lang_score", "double")
+    told = rows.mapInArrow(_predict(names, prototypes, None), schema)
+    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") > min_score)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, html, language, minhash, mixing, substrings, urls
+from . import chat, contamination, embeddings, html, language, lines, minhash, mixing, substrings, urls
 
 _MODULES = {"op1_mixing": mixing, "op2_html_extraction": html, "op3_embedding_near_dedup": embeddings, "op4_url_filter": urls,
-            "op6_language_id": language, "op7_minhash_near_dedup": minhash, "op9_chat_rotation": chat,
+            "op5_line_dedup": lines, "op6_language_id": language, "op7_minhash_near_dedup": minhash,
+            "op8_decontamination": contamination, "op9_chat_rotation": chat,
             "op10_substring_dedup": substrings}
 
 

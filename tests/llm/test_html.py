@@ -41,7 +41,7 @@ def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(30):
         step = rng.normal(size=(2, 2, 2))
-        weights = {str(i): tuple(rng.normal(size=2)) for i in range(6)}
+        weights = {str(i): tuple(rng.normal(size=2).tolist()) for i in range(6)}
         found = [("t", [str(i) for i in rng.integers(0, 6, 3)], int(rng.integers(0, 2)), False) for _ in range(6)]
         def score(path):
             s = sum(weights[f][y] for y, b in zip(path, found) for f in b[1])
