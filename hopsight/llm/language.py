@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import read
 from .words import pieces, texts
@@ -182,7 +182,7 @@ def accepted(docs: DataFrame, labelled: DataFrame, min_score: float = MIN_SCORE,
     """The rows of `docs` whose language is told with a score above `min_score`; columns unchanged. 'und' is rejected."""
     names, prototypes = learn(labelled, train_docs)
     rows = docs.drop("_lang_pred", "_lang_score")
-    schema = rows.schema.add("_lang_pred", "string").add("_lang_score", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
     told = rows.mapInArrow(_predict(names, prototypes, None), schema)
     return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") > min_score)).select(*docs.columns)
 
