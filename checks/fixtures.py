@@ -10,55 +10,18 @@ from hopsight.schema import MONEY, TRACE
 from hopsight.session import tune
 from hopsight.sources.sessions import parse_sessions, sessions_to_trace
 
-BOUNDARY = {"UTA": USER_TO_AGENT, "I": INTERNAL, "T": AGENT_TO_TOOL, "B": TOOL_TO_AGENT, "F": TO_FINAL}
+# Vocabulary of the trace and session formats.
 CHECK_TYPES = ["PII_CHECK", "PROMPT_ATTACK_CHECK", "TOXICITY_CHECK", "SENSITIVE_INFO_CHECK", "GROUNDING_CHECK"]
-TEMPLATES = [
-    "UP UTA PR I RA I AF F",
-    "UP UTA PS T SA B AD T DM B MF F",
-    "UP UTA PR I PC I RM I CM I MF F",
-    "UP UTA PN I NY T YM B MF F",
-    "UP UTA Pa I ab I bc I cF F",
-    "UP UTA PR I RM I PC I CF F",
-    "UP UTA PR I RC I CF F",
-    "UP UTA PK T PQ T KG B QG B GC I CF F",
-    "UP UTA PX T XV B VF F",
-    "UP UTA PH I HC I CF F",
-    "UP UTA Pa I ab I bc I cd I de I eF F",
-    "UP UTA PR I RM I PC I CF F",
-]
-BASE_LATENCY_MS = [110, 180, 120, 130, 260]
-BASE_COST_MICRO_USD = [50, 225, 225, 50, 300]
-SESSION_EVENTS = 64
 EVENT_TYPES = ["ORCHESTRATION", "ACTION_GROUP_INVOCATION", "ACTION_GROUP_RESPONSE", "KNOWLEDGE_BASE_LOOKUP",
                "KNOWLEDGE_BASE_RESPONSE", "SOMETHING_ELSE"]
-
-
-def node_name(letter: str) -> str:
-    return {"U": "User", "F": "FinalAnswer", "P": "PlannerAgent"}.get(letter, f"Stage_{letter}")
-
-
-def template_edges(text: str) -> tuple[list[tuple[int, str, str, str, str]], int]:
-    """[(ord, source, target, boundary, target type)] and the edge where behaviors set in."""
-    words = text.split()
-    marks = words[1::2]
-    kind = {"T": "tool", "F": "final"}
-    edges = [(i + 1, node_name(h[0]), node_name(h[1]), BOUNDARY[m], kind.get(m, "agent"))
-             for i, (h, m) in enumerate(zip(words[::2], marks))]
-    inner = ([i + 1 for i, m in enumerate(marks) if m == "I"]
-             or [i + 1 for i, m in enumerate(marks) if m not in ("UTA", "F")])
-    return edges, inner[len(inner) // 2]
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount",
+              "l_tax", "l_returnflag", "l_linestatus"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer splits than cores is spread before it is expanded."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -68,63 +31,59 @@ def _hash12(text: Column) -> Column:
 
 
 def order_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one workflow per order; acyclic graphs that reach every plan rule."""
-    rows = []
-    for number, text in enumerate(TEMPLATES):
-        edges, middle = template_edges(text)
-        rows += [(number, *e, middle, len(edges)) for e in edges]
-    hops = spark.createDataFrame(rows, "t long, ord int, source_node string, target_node string, trust_boundary string, "
-                                       "node_type string, mid int, edges int")
-    k, b, t = F.col("k"), F.col("b"), F.col("t")
-    o = spread(table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cu"), F.col("o_orderpriority").alias("pr"),
-        F.col("o_orderdate").alias("day"), (F.col("o_orderkey") % 12).alias("t"),
-        (F.floor(F.col("o_orderkey") / 12) % 7).alias("b")), "k")
-    cut = b.isin(1, 6)
-    rounds = F.when(k % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    r = (o.join(F.broadcast(hops), "t").filter(~(cut & (F.col("trust_boundary") == TO_FINAL)))
-         .withColumn("ne", F.col("edges") - cut.cast("int"))
-         .select("*", F.explode(rounds).alias("gi"))
-         .filter(~((F.col("gi") == 1) & (F.col("ord") == 1) & (k % 6 == 0))))
-    ord_, gi, mid, pr = F.col("ord"), F.col("gi"), F.col("mid"), F.col("pr")
-    late = ord_ >= mid
-    level = (F.when((b == 5) | t.isin(3, 9) | (pr == "1-URGENT"), "high").when(pr == "4-NOT SPECIFIED", "unknown")
-             .when(pr.isin("2-HIGH", "3-MEDIUM"), "medium").otherwise("low"))
-    h = (k * 7 + ord_ * 13 + gi * 5) % 20
-    odd = F.when(k % 2 == 0, "WARN").otherwise("BLOCK")
-    r = r.withColumns({
-        "step_id": (gi * F.col("ne") + ord_).cast("int"),
-        "kind": (k + 2 * gi) % 5,
-        "risk_level": level,
-        "guardrail_result": F.when((b == 4) & (ord_ == mid), odd)
-        .otherwise(F.when(h == 0, "WARN").when(h == 1, "BLOCK").otherwise("PASS")),
-        "policy": F.when(b.isin(2, 6) & late, (F.col("cu") + 1) % 3).otherwise(F.col("cu") % 3) + 1,
-        "text": F.col("cu") % 10 + F.when((b == 3) & late, 1).otherwise(0),
-        "text_in": F.col("cu") % 10 + F.when((b == 3) & (ord_ - 1 >= mid), 1).otherwise(0)})
-    mult = F.when(F.col("risk_level") == "medium", 115).when(F.col("risk_level") == "high", 135).otherwise(100)
-    cents = F.floor(_pick(BASE_LATENCY_MS, F.col("kind")) * mult * (85 + (k * 31 + ord_ * 17) % 41) / 100)
-    micro = F.floor(_pick(BASE_COST_MICRO_USD, F.col("kind")) * mult * (90 + (k * 13 + ord_ * 7) % 21) / 10000)
-    result = F.col("guardrail_result")
-    key = k.cast("string")
-    name = F.col("target_node")
-    return r.select(
-        F.concat(F.lit("wf_"), key).alias("workflow_id"), F.concat(F.lit("req_"), key).alias("request_id"), "step_id",
-        F.concat(F.lit("req_"), key, F.lit("_"), name).alias("node_id"), "source_node", "target_node", "node_type",
-        F.col("node_type").alias("step_type"), name.alias("agent_name"),
-        _pick(CHECK_TYPES, F.col("kind")).alias("guardrail_type"),
-        F.concat(F.lit("policy_v"), F.col("policy").cast("string")).alias("policy_id"),
-        _hash12(F.concat(F.lit("text_"), F.col("text").cast("string"))).alias("text_hash"),
-        _hash12(F.concat(F.lit("text_"), F.col("text_in").cast("string"))).alias("input_text_hash"),
-        _hash12(F.concat(F.lit("text_"), F.col("text").cast("string"))).alias("output_text_hash"),
-        ((b == 3) & (ord_ == mid)).alias("text_changed"), "trust_boundary", "risk_level",
-        F.col("risk_level").alias("edge_risk_level"), "guardrail_result",
+    """one request per order and workflow per customer; a check per line item, in the order of its lines.
+
+    The lines' own values set the graph: a part number divisible by 5 branches off the node before the
+    last, a high discount calls a tool, only orders that are not pending end in an answer, a line of
+    the highest tax crosses a boundary of no listed kind. Untaxed large lines were exported twice.
+    """
+    tune(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    line = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    line = position_in_group(line, ["l_orderkey"], LINE_ORDER, "pos").checkpoint()
+    last = line.groupBy("l_orderkey").agg(F.max("pos").alias("last"))
+    supplier = F.col("l_suppkey")
+    line = line.join(last, "l_orderkey").withColumn("target_node", F.when(
+        (F.col("pos") == F.col("last")) & (F.col("o_orderstatus") != "P"), "FinalAnswer")
+        .when(F.col("l_discount") >= 0.09, F.concat(F.lit("Tool"), (supplier % 2).cast("string")))
+        .otherwise(F.concat(F.lit("Agent"), (supplier % 5).cast("string"))))
+    back = F.when((F.col("l_partkey") % 5 == 0) & (F.col("pos") >= 2), 2).otherwise(1)
+    line = line.withColumn("from_pos", F.col("pos") - back)
+    before = line.select("l_orderkey", F.col("pos").alias("from_pos"), F.col("target_node").alias("before"))
+    line = (line.join(before, ["l_orderkey", "from_pos"], "left")
+            .withColumn("source_node", F.coalesce("before", F.lit("User")))
+            .withColumn("copy", F.explode(F.when((F.col("l_tax") == 0) & (F.col("l_quantity") > 25), F.array(F.lit(0), F.lit(1)))
+                                          .otherwise(F.array(F.lit(0))))))
+    source, target, tax, customer = (F.col(c) for c in ("source_node", "target_node", "l_tax", "o_custkey"))
+    tool = target.startswith("Tool")
+    boundary = (F.when(source == "User", USER_TO_AGENT).when(target == "FinalAnswer", TO_FINAL).when(tool, AGENT_TO_TOOL)
+                .when(source.startswith("Tool"), TOOL_TO_AGENT).when(tax == 0.08, "AGENT_TO_ARCHIVE").otherwise(INTERNAL))
+    kind = F.when(target == "FinalAnswer", "final").when(tool, "tool").otherwise("agent")
+    result = F.when(F.col("l_quantity") < 3, "WARN").when(F.col("l_quantity") < 5, "BLOCK").otherwise("PASS")
+    level = (F.when(F.col("o_orderpriority") == "1-URGENT", "high").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "unknown")
+             .when(F.col("o_orderpriority") == "5-LOW", "low").otherwise("medium"))
+    request = F.concat(F.lit("req_"), F.col("l_orderkey").cast("string"))
+    changed = tax >= 0.07
+
+    def text(more: Column) -> Column:
+        return _hash12(F.concat(F.lit("text_"), (customer % 10 + more).cast("string")))
+
+    return line.select(
+        F.concat(F.lit("wf_"), customer.cast("string")).alias("workflow_id"), request.alias("request_id"),
+        (F.col("pos") + 1).cast("int").alias("step_id"), F.concat(request, F.lit("_"), target).alias("node_id"),
+        "source_node", "target_node", kind.alias("node_type"), kind.alias("step_type"), target.alias("agent_name"),
+        _pick(CHECK_TYPES, F.col("l_partkey") % 2 * (1 + F.col("l_partkey") % 3)).alias("guardrail_type"),
+        F.concat(F.lit("policy_v"), F.when(F.col("l_discount") == 0.05, "2").otherwise("1")).alias("policy_id"),
+        text(changed.cast("int")).alias("text_hash"), text(F.lit(0)).alias("input_text_hash"),
+        text(changed.cast("int")).alias("output_text_hash"), changed.alias("text_changed"), boundary.alias("trust_boundary"),
+        level.alias("risk_level"), F.when(F.col("l_quantity") == 50, "high").otherwise(level).alias("edge_risk_level"),
+        result.alias("guardrail_result"),
         F.when(result == "BLOCK", "HIGH").when(result == "WARN", "MEDIUM").otherwise("NONE").alias("severity"),
-        F.when(result == "BLOCK", 0.92).when(result == "WARN", 0.65).otherwise(0.05).alias("confidence"),
-        (cents.cast("decimal(18,6)") / 100).cast(MONEY).alias("latency_ms"),
-        (micro.cast("decimal(18,6)") / 1000000).cast(MONEY).alias("estimated_cost_usd"),
-        (F.col("day") + F.make_dt_interval(secs=F.col("step_id"))).cast("string").alias("timestamp"),
-        F.concat(F.lit("t"), t.cast("string")).alias("workflow_template"),
-        F.concat(F.lit("b"), b.cast("string")).alias("behavior_pattern"))
+        F.lit(0.5).alias("confidence"), (F.col("l_quantity") * 10 + tax * 100).cast(MONEY).alias("latency_ms"),
+        (F.floor("l_extendedprice").cast("decimal(18,6)") / 1000000).cast(MONEY).alias("estimated_cost_usd"),
+        F.date_trunc("second", "l_shipdate").cast("timestamp_ntz").cast("string").alias("timestamp"),
+        F.when(customer % 7 != 6, F.concat(F.lit("t"), (customer % 7).cast("string"))).alias("workflow_template"),
+        F.concat(F.lit("b"), "o_orderstatus").alias("behavior_pattern")).select(*TRACE.fieldNames()).checkpoint()
 
 
 def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +131,7 @@ def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as nested session JSON, one object per 64 events, events in reverse order."""
+    """conversations as nested session JSON, one object per conversation, events in reverse order."""
     tune(spark)
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     c = position_in_group(c, ["conv_id"], ["turn", "text"], "pos").checkpoint()
@@ -221,12 +180,11 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pos % 2 == 0, (pos % 3 + 1).cast("double")).alias("usageUnits"),
         F.concat(F.lit("2024-01-01T"), F.lpad((pos % 24).cast("string"), 2, "0"), F.lit(":00:00Z")).alias("timestamp"),
         F.when(v != 7, checked).alias("guardrailTrace"))
-    block = F.floor(pos / SESSION_EVENTS)
-    grouped = (c.select(conv, block.alias("block"), F.struct(pos.alias("pos"), event.alias("event")).alias("x"))
-               .groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("x"), lambda a, b: b.pos - a.pos).alias("events")))
+    grouped = (c.select(conv, F.struct(pos.alias("pos"), event.alias("event")).alias("x"))
+               .groupBy("conv_id").agg(F.array_sort(F.collect_list("x"), lambda a, b: b.pos - a.pos).alias("events")))
     return grouped.select(F.to_json(F.struct(
         F.concat(F.lit("bot"), (conv % 5).cast("string")).alias("agentId"),
-        F.concat(F.lit("sess_"), conv.cast("string"), F.lit("_"), F.col("block").cast("string")).alias("sessionId"),
+        F.concat(F.lit("sess_"), conv.cast("string")).alias("sessionId"),
         F.transform("events", lambda x: x.event).alias("traceEvents"))).alias("json"))
 
 

@@ -2,61 +2,54 @@
 
 from __future__ import annotations
 
-from checks.fixtures import (BASE_COST_MICRO_USD, BASE_LATENCY_MS, CHECK_TYPES, EVENT_TYPES, SESSION_EVENTS,
-                             TEMPLATES, template_edges)
-from hopsight.sources.sessions import EVENT_BOUNDARY
+# Vocabulary of the trace and session formats.
+CHECK_TYPES = ["PII_CHECK", "PROMPT_ATTACK_CHECK", "TOXICITY_CHECK", "SENSITIVE_INFO_CHECK", "GROUNDING_CHECK"]
+EVENT_TYPES = ["ORCHESTRATION", "ACTION_GROUP_INVOCATION", "ACTION_GROUP_RESPONSE", "KNOWLEDGE_BASE_LOOKUP",
+               "KNOWLEDGE_BASE_RESPONSE", "SOMETHING_ELSE"]
+EVENT_BOUNDARIES = """('PRE_PROCESSING', 'USER_TO_AGENT'), ('ORCHESTRATION', 'AGENT_TO_AGENT_INTERNAL'),
+  ('ACTION_GROUP_INVOCATION', 'AGENT_TO_TOOL'), ('ACTION_GROUP_RESPONSE', 'TOOL_TO_AGENT'),
+  ('KNOWLEDGE_BASE_LOOKUP', 'AGENT_TO_TOOL'), ('KNOWLEDGE_BASE_RESPONSE', 'TOOL_TO_AGENT'),
+  ('POST_PROCESSING', 'AGENT_TO_FINAL_RESPONSE')"""
 
 
 def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
 
 
-def _template_rows() -> str:
-    rows = []
-    for t, text in enumerate(TEMPLATES):
-        edges, mid = template_edges(text)
-        rows += [f"({t}, {o}, '{s}', '{d}', '{b}', '{k}', {mid}, {len(edges)})" for o, s, d, b, k in edges]
-    return ", ".join(rows)
-
-
 def _hash(text: str) -> str:
     return f"substr(sha256({text}), 1, 12)"
 
 
 ORDERS = f"""
-tpl(t, ord, src, tgt, bnd, kind, mid, n) AS (VALUES {_template_rows()}),
-o AS (SELECT o_orderkey k, o_custkey cu, o_orderpriority pr, o_orderdate d, o_orderkey % 12 t,
-             (o_orderkey // 12) % 7 b FROM orders),
-h AS (SELECT o.*, ord, src, tgt, bnd, kind, mid, CASE WHEN b IN (1, 6) THEN n - 1 ELSE n END ne, gi
-      FROM o JOIN tpl USING (t), (VALUES (0), (1)) g(gi)
-      WHERE NOT (b IN (1, 6) AND bnd = 'AGENT_TO_FINAL_RESPONSE') AND (gi = 0 OR k % 3 = 0)
-        AND NOT (gi = 1 AND ord = 1 AND k % 6 = 0)),
-r AS (SELECT *, gi * ne + ord step_id, (k + 2 * gi) % 5 ty,
-             CASE WHEN b = 5 OR t IN (3, 9) OR pr = '1-URGENT' THEN 'high' WHEN pr = '4-NOT SPECIFIED' THEN 'unknown'
-                  WHEN pr IN ('2-HIGH', '3-MEDIUM') THEN 'medium' ELSE 'low' END risk,
-             CASE WHEN b = 4 AND ord = mid THEN CASE WHEN k % 2 = 0 THEN 'WARN' ELSE 'BLOCK' END
-                  WHEN (k * 7 + ord * 13 + gi * 5) % 20 = 0 THEN 'WARN'
-                  WHEN (k * 7 + ord * 13 + gi * 5) % 20 = 1 THEN 'BLOCK' ELSE 'PASS' END res,
-             1 + CASE WHEN b IN (2, 6) AND ord >= mid THEN (cu + 1) % 3 ELSE cu % 3 END pol,
-             cu % 10 + CASE WHEN b = 3 AND ord >= mid THEN 1 ELSE 0 END txt,
-             cu % 10 + CASE WHEN b = 3 AND ord - 1 >= mid THEN 1 ELSE 0 END txt_in
-      FROM h),
-m AS (SELECT *, CASE risk WHEN 'medium' THEN 115 WHEN 'high' THEN 135 ELSE 100 END mult FROM r),
+li AS (SELECT l.*, o.*, row_number() OVER w - 1 pos, count(*) OVER (PARTITION BY l_orderkey) - 1 last
+  FROM lineitem l JOIN orders o ON l_orderkey = o_orderkey
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice,
+    l_discount, l_tax, l_returnflag, l_linestatus)),
+lt AS (SELECT *, CASE WHEN pos = last AND o_orderstatus <> 'P' THEN 'FinalAnswer' WHEN l_discount >= 0.09::DOUBLE
+    THEN 'Tool' || (l_suppkey % 2) ELSE 'Agent' || (l_suppkey % 5) END tgt,
+  pos - CASE WHEN l_partkey % 5 = 0 AND pos >= 2 THEN 2 ELSE 1 END from_pos FROM li),
+ls AS (SELECT a.*, coalesce(b.tgt, 'User') src FROM lt a LEFT JOIN lt b ON a.l_orderkey = b.l_orderkey AND a.from_pos = b.pos),
+lk AS (SELECT *, CASE WHEN tgt = 'FinalAnswer' THEN 'final' WHEN tgt LIKE 'Tool%' THEN 'tool' ELSE 'agent' END kind,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '4-NOT SPECIFIED' THEN 'unknown' WHEN '5-LOW' THEN 'low'
+    ELSE 'medium' END risk, l_tax >= 0.07::DOUBLE changed,
+  CASE WHEN l_quantity < 3 THEN 'WARN' WHEN l_quantity < 5 THEN 'BLOCK' ELSE 'PASS' END res FROM ls),
 trace AS MATERIALIZED (SELECT
-  'wf_' || k workflow_id, 'req_' || k request_id, CAST(step_id AS INTEGER) step_id,
-  'req_' || k || '_' || tgt node_id, src source_node, tgt target_node, kind node_type, kind step_type, tgt agent_name,
-  {_list(CHECK_TYPES)}[ty + 1] guardrail_type, 'policy_v' || pol policy_id,
-  {_hash("'text_' || txt")} text_hash, {_hash("'text_' || txt_in")} input_text_hash,
-  {_hash("'text_' || txt")} output_text_hash, b = 3 AND ord = mid text_changed, bnd trust_boundary,
-  risk risk_level, risk edge_risk_level, res guardrail_result,
-  CASE res WHEN 'BLOCK' THEN 'HIGH' WHEN 'WARN' THEN 'MEDIUM' ELSE 'NONE' END severity,
-  CAST(CASE res WHEN 'BLOCK' THEN 0.92 WHEN 'WARN' THEN 0.65 ELSE 0.05 END AS DOUBLE) confidence,
-  CAST(CAST({_list(BASE_LATENCY_MS)}[ty + 1] * mult * (85 + (k * 31 + ord * 17) % 41) // 100 AS DECIMAL(18, 6)) / 100
-       AS DECIMAL(18, 6)) latency_ms,
-  CAST(CAST({_list(BASE_COST_MICRO_USD)}[ty + 1] * mult * (90 + (k * 13 + ord * 7) % 21) // 10000 AS DECIMAL(18, 6))
-       / 1000000 AS DECIMAL(18, 6)) estimated_cost_usd,
-  CAST(d + step_id * INTERVAL 1 SECOND AS VARCHAR) "timestamp", 't' || t workflow_template, 'b' || b behavior_pattern
-  FROM m)"""
+  'wf_' || o_custkey workflow_id, 'req_' || l_orderkey request_id, CAST(pos + 1 AS INTEGER) step_id,
+  'req_' || l_orderkey || '_' || tgt node_id, src source_node, tgt target_node, kind node_type, kind step_type, tgt agent_name,
+  {_list(CHECK_TYPES)}[l_partkey % 2 * (1 + l_partkey % 3) + 1] guardrail_type,
+  'policy_v' || CASE WHEN l_discount = 0.05::DOUBLE THEN '2' ELSE '1' END policy_id,
+  {_hash("'text_' || (o_custkey % 10 + changed::INT)")} text_hash, {_hash("'text_' || (o_custkey % 10)")} input_text_hash,
+  {_hash("'text_' || (o_custkey % 10 + changed::INT)")} output_text_hash, changed text_changed,
+  CASE WHEN src = 'User' THEN 'USER_TO_AGENT' WHEN tgt = 'FinalAnswer' THEN 'AGENT_TO_FINAL_RESPONSE'
+    WHEN tgt LIKE 'Tool%' THEN 'AGENT_TO_TOOL' WHEN src LIKE 'Tool%' THEN 'TOOL_TO_AGENT'
+    WHEN l_tax = 0.08::DOUBLE THEN 'AGENT_TO_ARCHIVE' ELSE 'AGENT_TO_AGENT_INTERNAL' END trust_boundary,
+  risk risk_level, CASE WHEN l_quantity = 50 THEN 'high' ELSE risk END edge_risk_level, res guardrail_result,
+  CASE res WHEN 'BLOCK' THEN 'HIGH' WHEN 'WARN' THEN 'MEDIUM' ELSE 'NONE' END severity, CAST(0.5 AS DOUBLE) confidence,
+  CAST(l_quantity * 10 + l_tax * 100 AS DECIMAL(18, 6)) latency_ms,
+  CAST(CAST(floor(l_extendedprice) AS DECIMAL(18, 6)) / 1000000 AS DECIMAL(18, 6)) estimated_cost_usd,
+  CAST(date_trunc('second', l_shipdate) AS VARCHAR) "timestamp",
+  CASE WHEN o_custkey % 7 <> 6 THEN 't' || (o_custkey % 7) END workflow_template, 'b' || o_orderstatus behavior_pattern
+  FROM lk, (VALUES (0), (1)) twice(copy) WHERE copy = 0 OR (l_tax = 0 AND l_quantity > 25))"""
 
 EVENTS = f"""
 ev AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) "day", CASE event_type WHEN 'purchase' THEN 'FinalAnswer'
@@ -90,30 +83,29 @@ def _session_target(at: str) -> str:
             f"ELSE 'Agent' || {at} END")
 
 
-_BOUNDARIES = ", ".join(f"('{k}', '{v}')" for k, v in EVENT_BOUNDARY.items())
 SESSIONS = f"""
 cp AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 pos,
               count(*) OVER (PARTITION BY conv_id) - 1 last FROM conversations),
-cv AS (SELECT *, (conv_id * 3 + pos) % 8 v, pos // {SESSION_EVENTS} block,
+cv AS (SELECT *, (conv_id * 3 + pos) % 8 v,
          CASE WHEN pos = 0 THEN 'PRE_PROCESSING' WHEN pos = last THEN 'POST_PROCESSING'
               ELSE {_list(EVENT_TYPES)}[(conv_id + pos) % 6 + 1] END et,
          CASE WHEN pos = 0 THEN 'User' ELSE {_session_target('(pos - 1)')} END src, {_session_target('pos')} tgt,
          CASE WHEN pos % 4 = 3 THEN text || ' .' ELSE text END out_text FROM cp),
-eb(et, bnd) AS (VALUES {_BOUNDARIES}),
+eb(et, bnd) AS (VALUES {EVENT_BOUNDARIES}),
 vc(v, i, ct, res, conf, sev) AS (VALUES
   (0, 0, 'PROMPT_ATTACK_CHECK', 'PASS', 0.4, 'LOW'), (0, 1, 'PII_CHECK', 'PASS', 0.05, 'NONE'),
   (1, 0, 'PII_CHECK', 'PASS', 0.05, 'NONE'), (2, 0, 'PII_CHECK', 'WARN', 0.9, 'MEDIUM'),
   (3, 0, 'PII_CHECK', 'BLOCK', 0.9, 'HIGH'), (4, 0, 'SENSITIVE_INFO_CHECK', 'BLOCK', 0.8, 'HIGH'),
   (5, 0, 'TOXICITY_CHECK', 'BLOCK', 0.92, 'HIGH'), (6, 0, 'GROUNDING_CHECK', 'PASS', 0.6, 'MEDIUM')),
 cb AS (SELECT cv.*, i, ct, res, conf, sev, coalesce(bnd, 'AGENT_TO_AGENT_INTERNAL') bnd,
-         row_number() OVER (PARTITION BY conv_id, block ORDER BY pos, i) step_id,
+         row_number() OVER (PARTITION BY conv_id ORDER BY pos, i) step_id,
          CASE WHEN conv_id % 7 = 0 OR src = 'PaymentAgent' OR tgt = 'PaymentAgent' THEN 'high'
               WHEN src = 'ComplianceAgent' OR tgt = 'ComplianceAgent' THEN 'medium' ELSE 'low' END risk
        FROM cv JOIN vc USING (v) LEFT JOIN eb USING (et)),
 ck AS (SELECT *, CASE bnd WHEN 'AGENT_TO_TOOL' THEN 'tool' WHEN 'AGENT_TO_FINAL_RESPONSE' THEN 'final'
                  ELSE 'agent' END kind FROM cb),
 trace AS MATERIALIZED (SELECT
-  'agent_bot' || (conv_id % 5) workflow_id, 'sess_' || conv_id || '_' || block request_id,
+  'agent_bot' || (conv_id % 5) workflow_id, 'sess_' || conv_id request_id,
   CAST(step_id AS INTEGER) step_id, 'agent_bot' || (conv_id % 5) || '_' || tgt node_id, src source_node,
   tgt target_node, kind node_type, kind step_type, tgt agent_name, ct guardrail_type,
   'g' || (conv_id % 3) || ':' || CASE WHEN pos % 2 = 1 THEN '2' ELSE '1' END policy_id,
@@ -184,7 +176,8 @@ path_edge AS (SELECT workflow_id, request_id, idx, pt, pid, txt, unnest(eos) eo,
 on_edge AS (SELECT t.*, e.eo, e.trust_boundary eb, e.edge_risk_level er FROM trace t
   JOIN edge e USING (workflow_id, request_id, source_node, target_node)),
 pc AS MATERIALIZED (SELECT c.*, idx, pt, pid, txt, pos, lag(c.step_id) OVER w p_step, lag(c.risk_level) OVER w p_risk,
-    lag(c.text_hash) OVER w p_text, lag(c.policy_id) OVER w p_pol, lag(c.guardrail_result) OVER w p_res
+    lag(c.text_hash) OVER w p_text, lag(c.policy_id) OVER w p_pol, lag(c.guardrail_result) OVER w p_res,
+    row_number() OVER w seq
   FROM on_edge c JOIN path_edge p USING (workflow_id, request_id, eo)
   WINDOW w AS (PARTITION BY workflow_id, request_id, idx, guardrail_type ORDER BY step_id))"""
 
@@ -215,7 +208,7 @@ judged AS (SELECT *, CASE
     WHEN why LIKE 'medium_risk_internal%' OR why = 'strict_mode_reuse_previous_decision' THEN 'REUSE_PREVIOUS_DECISION'
     ELSE 'KEEP' END dec FROM ruled),
 chosen AS (SELECT *, pt = 'orphan_branch' AND dec IN {OPT} held FROM judged
-  QUALIFY row_number() OVER (PARTITION BY workflow_id, request_id, step_id ORDER BY idx, pos) = 1),
+  QUALIFY row_number() OVER (PARTITION BY workflow_id, request_id, step_id ORDER BY idx, pos, seq) = 1),
 gap AS (SELECT workflow_id, request_id, arg_min(guardrail_type, step_id) gt FROM edge GROUP BY ALL
   HAVING NOT bool_or(trust_boundary = 'AGENT_TO_FINAL_RESPONSE')),
 first_final AS (SELECT workflow_id, request_id, arg_min(node_name, ord) f FROM node WHERE node_type = 'final' GROUP BY ALL),
@@ -259,9 +252,9 @@ redundant AS MATERIALIZED (SELECT workflow_id, request_id, pid path_id, pt path_
          WHEN risk_level = 'low' THEN 'SKIP_REDUNDANT_WITH_AUDIT' ELSE 'REUSE_PREVIOUS_DECISION' END
       recommended_decision FROM blocks)"""
 
-FEATURES = """,
+FEATURES = f""",
 fe AS (SELECT workflow_id, request_id, count(*) edge_count,
-    count(*) FILTER (trust_boundary <> 'AGENT_TO_AGENT_INTERNAL') protected_boundary_count,
+    count(*) FILTER (trust_boundary IN {PROT}) protected_boundary_count,
     count(*) FILTER (trust_boundary = 'AGENT_TO_AGENT_INTERNAL') internal_handoff_count,
     CAST(sum(n) AS BIGINT) calls, count(*) FILTER (edge_risk_level = 'high') high_risk_edge_count,
     NOT bool_or(trust_boundary = 'AGENT_TO_FINAL_RESPONSE') missing, count(*) FILTER (n_policies > 1) drift,

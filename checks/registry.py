@@ -120,10 +120,10 @@ so AS (SELECT scenario, count(*) workflows, CAST(sum(calls) AS BIGINT) calls, su
     sum(high) high FROM sw GROUP BY ALL),
 sq AS (SELECT scenario, CAST(sum(kept) AS BIGINT) kept, sum(p.lat) lat, sum(p.cost) cost, sum(prot_kept) prot_kept,
     sum(high_kept) high_kept FROM sw JOIN sp p USING (workflow_id) GROUP BY ALL)"""
-_SCENARIOS = f"""SELECT scenario, workflows workflow_count, calls original_guardrail_calls, kept optimized_guardrail_calls,
+_SCENARIOS = f"""SELECT so.scenario, workflows workflow_count, calls original_guardrail_calls, kept optimized_guardrail_calls,
     {o.savings_columns('so', 'sq', 'call_reduction_percent')},
     {o._pct('prot_kept', 'prot', '100.0')} boundary_coverage_percent,
-    {o._pct('high_kept', 'high', '100.0')} high_risk_preservation_percent FROM so JOIN sq USING (scenario)"""
+    {o._pct('high_kept', 'high', '100.0')} high_risk_preservation_percent FROM so JOIN sq ON so.scenario IS NOT DISTINCT FROM sq.scenario"""
 _MATRIX_CHAIN = f""",
 bt AS (SELECT trust_boundary, sum(n) n FROM (SELECT trust_boundary, 1 n FROM trace UNION ALL
     SELECT unnest(['USER_TO_AGENT', 'AGENT_TO_TOOL', 'TOOL_TO_AGENT', 'AGENT_TO_FINAL_RESPONSE']), 0) GROUP BY ALL),
@@ -241,6 +241,24 @@ _add("risk_top10", "orders", lambda a: serving.riskiest(a.features), o.PATHS + o
      "SELECT workflow_id, node_count, edge_count, redundant_internal_checks, missing_final_boundary_check, "
      "graph_risk_score, request_id FROM features ORDER BY graph_risk_score DESC, workflow_id, request_id LIMIT 10")
 _add("scenario_metrics", "orders", lambda a: a.scenarios, _PLAN + _SCENARIO_CHAIN, _SCENARIOS)
+_add("scenario_metrics_events", "events", lambda a: a.scenarios, _PLAN + _SCENARIO_CHAIN, _SCENARIOS)
+_add("plan_strict_events", "events", lambda a: a.plan, o.plan_sql(True), _PLAN_SELECT, strict=True)
+_add("rule_counts", "orders", lambda a: a.plan.groupBy("reason", "recommended_decision").agg(F.count("*").alias("checks")), _PLAN,
+     "SELECT reason, recommended_decision, count(*) checks FROM plan GROUP BY ALL")
+_add("gate_report", "orders", lambda a: metric_ops.safety_gates(a.metrics).unionByName(
+        metric_ops.boundary_gates(a.boundary_matrix, a.policy)),
+     _FULL + _MATRIX_CHAIN,
+     "SELECT 'boundary_checks' gate, prot_kept preserved, prot original, prot_kept >= prot passes FROM tt, pt_ UNION ALL "
+     "SELECT 'high_risk_checks', high_kept, high, high_kept >= high FROM tt, pt_ UNION ALL "
+     f"SELECT trust_boundary, preserved_checks, original_checks, preserved_checks >= original_checks FROM matrix "
+     f"WHERE trust_boundary IN {o.PROT}")
+_add("overview", "orders", lambda a: a.metrics.select(
+        "overall.original_guardrail_calls", "overall.optimized_guardrail_calls", "overall.guardrail_call_reduction_percent",
+        "safety.boundary_coverage_preserved_percent", "safety.high_risk_preservation_percent", "safety.human_review_count"),
+     _FULL, f"SELECT tt.calls original_guardrail_calls, pt_.kept optimized_guardrail_calls, "
+     "coalesce(round(100 * (1 - CAST(pt_.kept AS DOUBLE) / nullif(tt.calls, 0)), 2), 0.0) guardrail_call_reduction_percent, "
+     f"{o._pct('prot_kept', 'prot', '100.0')} boundary_coverage_preserved_percent, "
+     f"{o._pct('high_kept', 'high', '100.0')} high_risk_preservation_percent, review human_review_count FROM tt, pt_")
 _add("protected_ok", "orders", lambda a: serving.protected_fully_covered(a.boundary_matrix), _PLAN + _MATRIX_CHAIN,
      f"SELECT bool_and(coverage_percent = 100) all_protected_covered FROM matrix WHERE trust_boundary IN {o.PROT}")
 _add("run_summary", "orders", lambda a: a.summary().select(

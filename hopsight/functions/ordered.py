@@ -32,11 +32,17 @@ def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str], column: str)
 
 
 def previous_in_group(df: DataFrame, group: list[str], order: list[str], value: Column, name: str,
-                      rows: int = RANGE_ROWS) -> DataFrame:
-    """Add `name`: `value` of the row before, within `group` by `order`; NULL on the first."""
+                      seq: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """Add `name`: `value` of the row before, within `group` by `order`; NULL on the first.
+
+    `seq` adds a column that sorts as the rows do, so that rows equal in `order` have the places that `name` saw.
+    """
     cut = _cut(df.withColumn("_value", value), group, order, rows)
     keys = [*group, "_range"]
-    within = cut.withColumn(name, F.lag("_value").over(W.partitionBy(*keys).orderBy(*order, "_uid")))
+    ordered = W.partitionBy(*keys).orderBy(*order, "_uid")
+    within = cut.withColumn(name, F.lag("_value").over(ordered))
+    if seq is not None:
+        within = within.withColumn(seq, F.struct("_range", F.row_number().over(ordered).alias("n")))
     last = cut.groupBy(*keys).agg(F.max(F.struct(*order, "_uid", "_value")).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last._value").over(W.partitionBy(*group).orderBy("_range")))
     return (_with_carry(within, carry, keys, "_carry")

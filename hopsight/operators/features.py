@@ -60,19 +60,16 @@ def _repeats(path_checks: PathChecks) -> DataFrame:
 
 def _busiest_path(path_checks: PathChecks) -> DataFrame:
     topo = path_checks.topo
-    steps = topo.side(topo.path_steps)
     paths = topo.paths.select("topology_id", "path_idx", "labels")
 
     def build(part: Part) -> DataFrame:
-        scored = (part.edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra"))
-                  .join(steps, ["topology_id", "edge_ord"])
+        scored = (topo.place(part.edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra")), topo.path_steps)
                   .groupBy(*KEY, "topology_id", "path_idx").agg(F.sum("extra").alias("score")))
         return (scored.groupBy(*KEY, "topology_id")
                 .agg(F.max(F.struct("score", (-F.col("path_idx")).alias("rank"))).alias("best"))
                 .select(*KEY, "topology_id", (-F.col("best.rank")).alias("path_idx")))
 
-    return (path_checks.per_part(build).join(topo.side(paths), ["topology_id", "path_idx"])
-            .join(topo.keys.select(*KEY, "names"), KEY)
+    return (topo.per_key(path_checks.per_part(build), paths, on=("topology_id", "path_idx")).join(topo.keys.select(*KEY, "names"), KEY)
             .select(*KEY, F.array_join(node_names("labels", "names"), " -> ").alias("highest_redundancy_path")))
 
 
@@ -81,7 +78,7 @@ def workflow_features(path_checks: PathChecks, weights: dict) -> DataFrame:
     sums = path_checks.per_part(lambda part: _edge_sums(part.edges, weights))
     routes = topo.paths.groupBy("topology_id").agg(
         F.count("*").alias("path_count"), F.max(F.size("edge_ords")).alias("max_path_length"))
-    nodes = (topo.keys.join(topo.side(routes), "topology_id", "left")
+    nodes = (topo.per_key(topo.keys, routes, "left")
              .select(*KEY, "node_count", "high_risk_node_count", "path_count", "max_path_length"))
     joined = (sums.join(nodes, KEY).join(_repeats(path_checks), KEY)
               .join(_busiest_path(path_checks), KEY, "left"))

@@ -29,8 +29,7 @@ class Part:
             return self.held
         side = self.edges.select(*HOP, "topology_id", "edge_ord", F.col("first.trust_boundary").alias("edge_boundary"),
                                  F.col("first.edge_risk_level").alias("edge_risk"))
-        # Ordinary keys spread evenly, so a hash table per partition saves both sorts.
-        side = bounded(side) if self.heavy else side.hint("shuffle_hash")
+        side = bounded(side) if self.heavy else side
         return self.rows.select(*HOP, "step_id", "path_tie", *PATH_COLUMNS).join(side, HOP)
 
 
@@ -74,12 +73,22 @@ class PathChecks:
     def per_part(self, build: Callable[[Part], DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, [build(part) for part in self.parts])
 
-    def along_paths(self, part: Part) -> DataFrame:
-        """One row per check and path, with `prev`: the check of its type just before it."""
-        placed = part.on_edges().join(self.topo.side(self.topo.path_steps), ["topology_id", "edge_ord"])
+    def along_paths(self, part: Part, steps: DataFrame) -> DataFrame:
+        """One row per check and path of `steps`, with `prev`, the check of its type just before it, and `seq`.
+
+        `seq` sorts as the checks do in the comparison, so it tells exact copies of a check apart.
+        """
+        placed = self.topo.place(part.on_edges(), steps)
         group = [*KEY, "path_idx", "guardrail_type"]
         order = ["step_id", "pos", "path_tie"]
         value = F.struct("step_id", "risk_level", "text_hash", "policy_id", "guardrail_result")
         if part.heavy:
-            return previous_in_group(placed, group, order, value, "prev")
-        return placed.withColumn("prev", F.lag(value).over(W.partitionBy(*group).orderBy(*order)))
+            return previous_in_group(placed, group, order, value, "prev", "seq")
+        ordered = W.partitionBy(*group).orderBy(*order)
+        return placed.withColumn("prev", F.lag(value).over(ordered)).withColumn("seq", F.row_number().over(ordered))
+
+    def deciding_steps(self) -> DataFrame:
+        """The steps of those paths that are the first for some edge: no other path decides in the plan."""
+        steps = self.topo.path_steps
+        first = steps.select("topology_id", F.col("first_path").alias("path_idx")).distinct()
+        return steps.join(first, ["topology_id", "path_idx"], "left_semi")

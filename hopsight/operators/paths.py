@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -21,6 +22,7 @@ from hopsight.session import bounded, is_small
 WIDE_EDGES = 256
 WIDE_PATHS = 1_000_000
 FRONTIER_ROWS_PER_TASK = 200_000
+SHARED_KEYS = 1_000
 
 
 class PathExplosion(RuntimeError):
@@ -42,6 +44,35 @@ class Topologies:
         """Broadcast `df`, which has at most the rows of `path_steps`, if those are proven few."""
         return F.broadcast(df) if self.path_edges <= session.BROADCAST_ROWS else df
 
+    @cached_property
+    def shared(self) -> DataFrame:
+        """Topologies of more than SHARED_KEYS keys: few, as each takes that many."""
+        counts = self.keys.groupBy("topology_id").agg(F.count("*").alias("n"))
+        return bounded(counts.filter(F.col("n") > SHARED_KEYS).select("topology_id").checkpoint())
+
+    def per_key(self, keys: DataFrame, table: DataFrame, how: str = "inner", on: tuple[str, ...] = ("topology_id",)) -> DataFrame:
+        """Rows of the size of `keys` joined with `table` by topology.
+
+        If the paths are not few, shared topologies are joined by their own (broadcast if proven few),
+        and the others by a shuffle in which no topology has more than SHARED_KEYS keys.
+        """
+        if self.path_edges <= session.BROADCAST_ROWS:
+            return keys.join(F.broadcast(table), list(on), how)
+        shared = bounded(table.join(self.shared, "topology_id", "left_semi"))
+        rare = table.join(self.shared, "topology_id", "left_anti")
+        return (keys.join(self.shared, "topology_id", "left_semi").join(shared, list(on), how)
+                .unionByName(keys.join(self.shared, "topology_id", "left_anti").join(rare, list(on), how)))
+
+    def place(self, rows: DataFrame, steps: DataFrame) -> DataFrame:
+        """Rows on edges, which may be as many as the trace's, with the path steps of their edge.
+
+        They are never dealt by topology: few steps are broadcast, others are first carried to their keys.
+        """
+        if self.path_edges <= session.BROADCAST_ROWS:
+            return rows.join(F.broadcast(steps), ["topology_id", "edge_ord"])
+        by_key = self.per_key(self.keys.select(*KEY, "topology_id"), steps).drop("topology_id")
+        return rows.join(by_key, [*KEY, "edge_ord"])
+
 
 def path_id() -> Column:
     mark = F.when(F.col("path_type") == "final", "_p").otherwise("_o")
@@ -213,7 +244,7 @@ def _number(ended: DataFrame, at_most: int) -> DataFrame:
 
 def path_table(topo: Topologies) -> DataFrame:
     """All paths of all keys, named and numbered."""
-    return (topo.keys.join(topo.side(topo.paths), "topology_id")
+    return (topo.per_key(topo.keys, topo.paths)
             .select(*KEY, "path_idx", "path_type", path_id().alias("path_id"),
                     node_names("labels", "names").alias("path_nodes"), "edge_ords"))
 

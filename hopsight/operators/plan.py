@@ -9,6 +9,7 @@ from hopsight.operators.paths import path_id
 from hopsight.policy import KEEP, MOVE, REUSE, REVIEW, SKIP, TO_FINAL
 from hopsight.schema import KEY, MONEY
 
+# The plan's columns; the decisions' reasons are in `decide` and below.
 PLAN_COLUMNS = [
     "workflow_id", "request_id", "step_id", "node_id", "source_node", "target_node", "agent_name",
     "guardrail_type", "policy_id", "text_hash", "trust_boundary", "risk_level",
@@ -70,16 +71,17 @@ def decide(policy: dict, strict: bool) -> Column:
 def executed_rows(path_checks: PathChecks, policy: dict, strict: bool = False) -> DataFrame:
     """Plan columns and `path_idx` for every check that lies on a path."""
     def build(part: Part) -> DataFrame:
-        judged = path_checks.along_paths(part).withColumn("v", decide(policy, strict))
+        judged = path_checks.along_paths(part, steps).withColumn("v", decide(policy, strict))
         # A check on several paths ran once: the first path that holds it decides.
         judged = judged.filter("path_idx = first_path")
-        place = ["path_idx", "pos", "path_tie"]
+        place = ["path_idx", "pos", "path_tie", "seq"]
         if not part.heavy:
             rank = F.row_number().over(W.partitionBy(*KEY, "step_id").orderBy(*place))
             return judged.withColumn("rank", rank).filter("rank = 1").select(*KEY, "step_id", *columns)
         return (judged.groupBy(*KEY, "step_id").agg(F.min(F.struct(*place, *[c for c in columns if c != "path_idx"])).alias("c"))
                 .select(*KEY, "step_id", *[F.col(f"c.{c}") for c in columns]))
 
+    steps = path_checks.deciding_steps()
     columns = ["path_idx", "node_id", "source_node", "target_node", "agent_name", "guardrail_type", "policy_id",
                "text_hash", "edge_boundary", "risk_level", "latency_ms", "estimated_cost_usd", "path_type", "v"]
     rows = path_checks.per_part(build)

@@ -10,6 +10,7 @@ from hopsight.operators.plan import differs, isin
 from hopsight.policy import KEEP, REUSE, REVIEW, SKIP
 from hopsight.schema import KEY
 
+# The report's columns; the names of its blocks are in `redundant_checks`.
 REDUNDANT_COLUMNS = [
     "workflow_id", "request_id", "path_id", "path_type", "path_nodes", "guardrail_type", "policy_id",
     "text_hash", "first_step_id", "duplicate_step_id", "duplicate_reason", "optimization_allowed",
@@ -40,7 +41,7 @@ def redundant_checks(path_checks: PathChecks, paths: DataFrame, policy: dict) ->
                 .otherwise(REUSE))
 
     def build(part: Part) -> DataFrame:
-        repeated = (path_checks.along_paths(part).filter("prev IS NOT NULL")
+        repeated = (path_checks.along_paths(part, path_checks.topo.path_steps).filter("prev IS NOT NULL")
                     .withColumn("blocks", blocks).withColumn("recommended_decision", decision))
         text = paths.select(*KEY, "path_idx", F.array_join("path_nodes", " -> ").alias("path_nodes"))
         return repeated.join(text, [*KEY, "path_idx"])

@@ -140,22 +140,37 @@ def metrics(trace: DataFrame, plan: DataFrame, features: DataFrame, policy: dict
 
 
 def enforce_gate(metrics_row: DataFrame) -> DataFrame:
-    """Raise unless protected boundaries and high-risk checks are fully preserved."""
-    safety = metrics_row.select("safety.*").first()
-    for name in ("boundary_coverage_preserved_percent", "high_risk_preservation_percent"):
-        if safety[name] < 100.0:
-            raise SafetyGateError(f"{name} is {safety[name]}, must be 100")
+    """Raise unless protected boundaries and high-risk checks are fully preserved, by their counts."""
+    for gate in safety_gates(metrics_row).collect():
+        if not gate["passes"]:
+            raise SafetyGateError(f"{gate['gate']}: {gate['preserved']} of {gate['original']} checks are preserved")
     return metrics_row
 
 
+def safety_gates(metrics_row: DataFrame) -> DataFrame:
+    """(gate, preserved, original, passes) of the two gates on the metrics."""
+    gates = [F.struct(F.lit(name).alias("gate"), F.col(f"safety.{name}_preserved").alias("preserved"),
+                      F.col(f"safety.{name}_original").alias("original")) for name in ("boundary_checks", "high_risk_checks")]
+    rows = metrics_row.select(F.explode(F.array(*gates)).alias("g")).select("g.*")
+    return rows.withColumn("passes", F.col("preserved") >= F.col("original"))
+
+
+def boundary_gates(matrix: DataFrame, policy: dict) -> DataFrame:
+    """The same for each protected boundary of the matrix."""
+    return matrix.filter(isin("trust_boundary", policy["protected_boundaries"])).select(
+        F.col("trust_boundary").alias("gate"), F.col("preserved_checks").alias("preserved"),
+        F.col("original_checks").cast("long").alias("original"),
+        (F.col("preserved_checks") >= F.col("original_checks")).alias("passes"))
+
+
 def scenario_metrics(trace: DataFrame, plan: DataFrame, policy: dict) -> DataFrame:
-    """The headline metrics per scenario, where a workflow's scenario is its first template."""
+    """The headline metrics per scenario, where a workflow's scenario is its first template, or null if it has none."""
     shown = F.struct("timestamp", "request_id", "step_id", "workflow_template")
     per_workflow = trace.groupBy("workflow_id").agg(
         F.min(F.when(F.col("workflow_template").isNotNull(), shown)).alias("shown"), *_trace_sums(policy))
     planned = with_savings(plan, policy).groupBy("workflow_id").agg(*_plan_sums(policy))
     joined = (per_workflow.withColumn("scenario", F.col("shown.workflow_template"))
-              .filter("scenario IS NOT NULL").join(planned, "workflow_id", "left"))
+              .join(planned, "workflow_id", "left"))
     summed = ["original_guardrail_calls", "optimized_guardrail_calls", "original_latency", "optimized_latency",
               "original_cost", "optimized_cost", "boundary_checks_original", "boundary_checks_preserved",
               "high_risk_checks_original", "high_risk_checks_preserved"]
@@ -193,8 +208,7 @@ def boundary_matrix(trace: DataFrame, plan: DataFrame, policy: dict) -> DataFram
 
 
 def enforce_matrix_gate(matrix: DataFrame, policy: dict) -> DataFrame:
-    low = matrix.filter(isin("trust_boundary", policy["protected_boundaries"]) & (F.col("coverage_percent") < 100))
-    bad = low.first()
+    bad = boundary_gates(matrix, policy).filter("NOT passes").first()
     if bad is not None:
-        raise SafetyGateError(f"protected boundary {bad.trust_boundary} is covered {bad.coverage_percent}%, must be 100")
+        raise SafetyGateError(f"protected boundary {bad.gate}: {bad.preserved} of {bad.original} checks are preserved")
     return matrix
