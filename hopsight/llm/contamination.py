@@ -55,7 +55,11 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = cut(bench)
     lengths = sorted(r["n"] for r in bench.select(F.size("iw").alias("n")).filter(F.col("n") < SPAN).distinct().collect())
     own = F.when(F.size("iw") < SPAN, F.size("iw")).otherwise(SPAN)
-    probes = cut(bench.select("item_key", own.alias("length"), F.size("iw").alias("n"), F.explode(_seeds(F.col("iw"), lengths)).alias("s"))
+    # a short item is found by the seed of all its words alone, and that seed finds no longer item
+    seeds = _seeds(F.col("iw"), [])
+    for n in lengths:
+        seeds = F.when(F.size("iw") == n, _seeds(F.col("iw"), [n])).otherwise(seeds)
+    probes = cut(bench.select("item_key", own.alias("length"), F.explode(seeds).alias("s"))
                  .select("item_key", "length", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
                  .distinct())
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
@@ -108,7 +112,7 @@ SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{_GAP}'), lambda x: x <> '') w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT min(item_id) item_id, w FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '{_GAP}'), lambda x: x <> '') w FROM benchmark)
     WHERE len(w) >= {SHORTEST} GROUP BY w),
-ps AS (SELECT s.* FROM ({_sql_seeds('b', 'item_id')}) s JOIN b USING (item_id) WHERE s.tag < 0 OR s.length IN (SELECT len(w) FROM b)),
+ps AS (SELECT s.* FROM ({_sql_seeds('b', 'item_id')}) s JOIN b USING (item_id) WHERE s.tag < 0 OR s.length = len(b.w)),
 ds AS ({_sql_seeds('d', 'doc_id')}),
 h AS (SELECT DISTINCT doc_id, item_id, ps.length, ds.pos - ps.pos shift, ps.pos item_at FROM ds JOIN ps USING (tag, seed)),
 g AS (SELECT *, CASE WHEN item_at <= lag(item_at) OVER line + lag(length) OVER line THEN 0 ELSE 1 END new FROM h
