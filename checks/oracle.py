@@ -235,7 +235,7 @@ saved AS (SELECT *, CASE WHEN step_id = -1 THEN 260.0 WHEN recommended_decision
 
 
 REDUNDANT = WALKED + f""",
-flags AS (SELECT *, risk_level = 'high' OR coalesce(p_risk = 'high', false) OR er = 'high' hi,
+flags AS (SELECT *, coalesce(risk_level = 'high', false) OR coalesce(p_risk = 'high', false) OR coalesce(er = 'high', false) hi,
     guardrail_result IS DISTINCT FROM p_res conflict FROM pc WHERE p_step IS NOT NULL),
 blocks AS (SELECT *, concat_ws(';', CASE WHEN eb IN {PROT} THEN 'protected_boundary' END,
     CASE WHEN hi THEN 'high_risk' END,

@@ -44,7 +44,7 @@ def redundant_checks(path_checks: PathChecks, paths: DataFrame, policy: dict) ->
         repeated = (path_checks.along_paths(part, path_checks.topo.path_steps).filter("prev IS NOT NULL")
                     .withColumn("blocks", blocks).withColumn("recommended_decision", decision))
         text = paths.select(*KEY, "path_idx", F.array_join("path_nodes", " -> ").alias("path_nodes"))
-        return repeated.join(text, [*KEY, "path_idx"])
+        return repeated.drop("seq").join(text, [*KEY, "path_idx"])
 
     joined = F.array_join("blocks", ";")
     return path_checks.per_part(build).select(

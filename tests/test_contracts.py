@@ -1,23 +1,23 @@
 import pytest
 
 from hopsight import schema
-from tests import brute
-from tests.brute import row
+from tests import traces
+from tests.traces import row
 
 
 def test_trace_passes_and_extra_columns_are_allowed(spark):
-    df = brute.frame(spark, [row(1, "User", "A")])
+    df = traces.frame(spark, [row(1, "User", "A")])
     assert schema.require_trace(df.selectExpr("*", "1 AS extra")) is not None
 
 
 @pytest.mark.parametrize("column", schema.TRACE_REQUIRED)
 def test_missing_trace_column_is_named(spark, column):
     with pytest.raises(schema.ContractError, match=column):
-        schema.require_trace(brute.frame(spark, [row(1, "User", "A")]).drop(column))
+        schema.require_trace(traces.frame(spark, [row(1, "User", "A")]).drop(column))
 
 
 def test_wrong_type_and_zero_rows_are_refused(spark):
-    df = brute.frame(spark, [row(1, "User", "A")])
+    df = traces.frame(spark, [row(1, "User", "A")])
     with pytest.raises(schema.ContractError, match="step_id"):
         schema.require_trace(df.selectExpr("* EXCEPT (step_id)", "CAST(step_id AS STRING) AS step_id"))
     with pytest.raises(schema.ContractError, match="zero rows"):
@@ -26,7 +26,7 @@ def test_wrong_type_and_zero_rows_are_refused(spark):
 
 def test_plan_redundant_and_metrics_contracts(spark):
     from hopsight import Analysis
-    a = Analysis(brute.frame(spark, [row(1, "User", "A"), row(2, "A", "B"), row(3, "B", "FinalAnswer")]))
+    a = Analysis(traces.frame(spark, [row(1, "User", "A"), row(2, "A", "B"), row(3, "B", "FinalAnswer")]))
     schema.require_plan(a.plan), schema.require_redundant(a.redundant), schema.require_metrics(a.metrics)
     schema.require_redundant(a.redundant.limit(0))
     with pytest.raises(schema.ContractError, match="reason"):
@@ -40,7 +40,7 @@ def test_plan_redundant_and_metrics_contracts(spark):
 def test_optional_columns_fall_back(spark):
     from hopsight import Analysis
     rows = [row(1, "User", "A", risk_level="high"), row(2, "A", "FinalAnswer")]
-    bare = brute.frame(spark, rows).select(*schema.TRACE_REQUIRED)
+    bare = traces.frame(spark, rows).select(*schema.TRACE_REQUIRED)
     a = Analysis(bare)
     nodes = {r.node_name: r for r in a.nodes.collect()}
     assert nodes["A"].node_id == "r_A" and nodes["A"].node_type == "agent" and nodes["A"].input_text_hash == ""

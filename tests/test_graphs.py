@@ -1,97 +1,54 @@
-"""Micro-graphs and random graphs against brute force, on every execution route."""
+"""Micro-graphs and random graphs against SQL, hand-written rows, and each other on every execution route."""
 
 import random
 
 import pytest
 
+from checks import compare, oracle as o, registry
 from hopsight import Analysis, session
 from hopsight.plans import audit
-from tests import brute
-from tests.brute import row
+from tests import traces
+from tests.traces import MICRO, combined, row, scrambled
 
+TRACE = "trace AS MATERIALIZED (SELECT * FROM given)"
+ROUTES = [{}, {"heavy_rows": 1}, {"wide_edges": 1}, {"wide_edges": 3, "heavy_rows": 5}]
 
-def tied(analysis, spark):
-    """The trace rows with the tie-break the engine uses."""
-    return [r.asDict() for r in analysis.checks.collect()]
 
+def equals_sql(spark, rows, strict=False, **limits):
+    """Every graph result of the trace equals SQL; SQL leaves the order of tied steps open, so there may be none but exact copies."""
+    import duckdb
+    import pyarrow as pa
 
-def check(spark, rows, strict=False, **limits):
-    a = Analysis(brute.frame(spark, rows), strict=strict, **limits)
-    rows = tied(a, spark)
+    a, con = Analysis(traces.frame(spark, rows), strict=strict, **limits), duckdb.connect()
+    con.register("given", pa.Table.from_pylist(rows))
     if strict:
         a.hold_checks()
-    plan = [tuple(r) for r in a.plan.select(
-        "workflow_id", "request_id", "step_id", "target_node", "guardrail_type", "recommended_decision", "reason",
-        "reused_from_step_id", "graph_path_id", "audit_required").collect()]
-    assert sorted(plan, key=str) == sorted(brute.plan(rows, strict), key=str)
-    redundant = [tuple(r) for r in a.redundant.select(
-        "workflow_id", "request_id", "path_id", "path_nodes", "guardrail_type", "first_step_id", "duplicate_step_id",
-        "blocked_by", "recommended_decision").collect()]
-    assert sorted(redundant, key=str) == sorted(brute.redundant(rows), key=str)
-    features = [tuple(r) for r in a.features.select(
-        "workflow_id", "request_id", "node_count", "edge_count", "path_count", "max_path_length", "total_guardrail_calls",
-        "duplicate_guardrail_groups", "redundant_internal_checks", "repeated_text_hash_count", "policy_drift_count",
-        "graph_risk_score", "highest_redundancy_path").collect()]
-    assert sorted(features) == sorted(brute.features(rows))
-    nodes = [tuple(r) for r in a.nodes.select(
-        "workflow_id", "request_id", "node_name", "node_type", "node_id", "agent_name", "risk_level", "input_text_hash",
-        "output_text_hash").collect()]
-    assert sorted(nodes, key=str) == sorted(
-        ((*k, n, *v) for k, g in brute.graphs(rows).items() for n, v in g.nodes.items()), key=str)
+    plan = o.plan_sql(strict)
+    for name, table, chain, select in (
+            ("nodes", a.nodes, o.GRAPH, registry._NODES), ("edges", a.edges, o.GRAPH, registry._EDGES),
+            ("paths", a.paths, o.PATHS, registry._PATHS), ("plan", a.plan, plan, registry._PLAN_SELECT),
+            ("redundant", a.redundant, o.REDUNDANT, "SELECT * FROM redundant"),
+            ("features", a.features, o.PATHS + o.FEATURES, "SELECT * FROM features"),
+            ("accounting", a.accounting(), plan, registry._ACCOUNTING),
+            ("uncovered", audit.uncovered_edges(a.topologies), o.PATHS, registry._UNCOVERED)):
+        said = compare.differences(registry.flat(table), con, o.query(TRACE, chain, select))
+        assert said == "", f"{name}: {said}"
     a.release()
-    return a
-
-
-MICRO = {
-    "diamond": [row(1, "User", "A"), row(2, "A", "B"), row(3, "A", "C"), row(4, "B", "D"), row(5, "C", "D"),
-                row(6, "D", "FinalAnswer")],
-    "fan_out_in": [row(1, "User", "A"), row(2, "A", "XTool"), row(3, "A", "YTool"), row(4, "XTool", "B"),
-                   row(5, "YTool", "B"), row(6, "B", "FinalAnswer")],
-    "final_on_the_way_to_another": [row(1, "User", "A"), row(2, "A", "F1", node_type="final"),
-                                    row(3, "F1", "B"), row(4, "B", "F2", node_type="final")],
-    "dead_end_shares_prefix": [row(1, "User", "A"), row(2, "A", "B"), row(3, "B", "C"), row(4, "A", "FinalAnswer")],
-    "no_user": [row(1, "A", "B"), row(2, "B", "FinalAnswer")],
-    "self_loop": [row(1, "User", "A"), row(2, "A", "A"), row(3, "A", "FinalAnswer")],
-    "cycle_without_exit": [row(1, "User", "A"), row(2, "A", "B"), row(3, "B", "A")],
-    "repeated_steps": [row(1, "User", "A"), row(2, "A", "B"), row(2, "A", "B", policy_id="p2"),
-                       row(2, "B", "FinalAnswer"), row(3, "B", "FinalAnswer")],
-    "null_policy_and_text": [row(1, "User", "A", policy_id=None), row(2, "A", "B", policy_id=None),
-                             row(3, "B", "C", policy_id=None, text_hash=None), row(4, "C", "D", text_hash=None),
-                             row(5, "D", "FinalAnswer")],
-    "mixed_boundary_on_edge": [row(1, "User", "A"), row(2, "A", "B"), row(3, "A", "B", trust_boundary="AGENT_TO_TOOL"),
-                               row(4, "B", "C", trust_boundary="TOOL_TO_AGENT"), row(5, "B", "C")],
-    "edge_only_high": [row(1, "User", "A"), row(2, "A", "B", edge_risk_level="high"), row(3, "A", "B"),
-                       row(4, "B", "FinalAnswer")],
-    "unknown_boundary": [row(1, "User", "A", trust_boundary="OTHER"), row(2, "A", "B", trust_boundary="OTHER")],
-    "single_row": [row(1, "User", "A")],
-    "exact_copies": [row(1, "User", "A")] * 3 + [row(2, "A", "B")] * 4 + [row(3, "B", "FinalAnswer")] * 2,
-    "unclassified_risk": [row(1, "User", "A"), row(2, "A", "B", risk_level="odd"), row(3, "B", "C", risk_level=None)],
-    "user_is_typed_target": [row(1, "A", "User", node_type="user"), row(2, "User", "B"), row(3, "B", "FinalAnswer")],
-}
-
-
-def combined():
-    return [{**r, "workflow_id": name, "request_id": f"req_{name}"} for name, rows in MICRO.items() for r in rows]
-
-
-def scrambled(seed, keys=12):
-    rng, rows = random.Random(seed), []
-    names = ["User", "A", "B", "C", "D", "XTool", "FinalAnswer"]
-    for k in range(keys):
-        for i in range(rng.randint(1, 14)):
-            source, target = ("User" if i == 0 else rng.choice(names)), rng.choice(names[1:])
-            rows.append(row(
-                rng.randint(1, 9) if k % 3 == 0 else i + 1, source, target, workflow_id=f"w{k % 5}", request_id=f"r{k}",
-                guardrail_type=rng.choice(["PII_CHECK", "TOXICITY_CHECK"]), policy_id=rng.choice(["p1", "p1", "p2", None]),
-                text_hash=rng.choice(["h1", "h1", "h2", None]), text_changed=rng.random() < 0.1,
-                risk_level=rng.choice(["low", "low", "medium", "high", "odd"]),
-                edge_risk_level=rng.choice(["low", "low", "high"]),
-                guardrail_result=rng.choice(["PASS", "PASS", "PASS", "WARN", "BLOCK"])))
-    return rows
+
+
+def results(spark, rows, **limits):
+    a = Analysis(traces.frame(spark, rows), **limits)
+    out = [sorted(map(str, t.collect())) for t in (a.plan, a.redundant, a.features, a.paths, a.nodes)]
+    a.release()
+    return out
+
+
+WITHOUT_TIES = set(MICRO) - {"repeated_steps"}
 
 
 def test_micro_graphs(spark):
-    a = check(spark, combined())
+    equals_sql(spark, combined(WITHOUT_TIES))
+    a = Analysis(traces.frame(spark, combined()))
     missing = {(r.workflow_id, r.problem) for r in a.accounting().collect()}
     assert ("no_user", "missing_from_plan") in missing and ("repeated_steps", "step_id_repeated") in missing
     uncovered = {(r.workflow_id, r.source_node, r.target_node) for r in audit.uncovered_edges(a.topologies).collect()}
@@ -99,30 +56,91 @@ def test_micro_graphs(spark):
     assert not any(w == "diamond" for w, _, _ in uncovered)
 
 
-def test_micro_graphs_when_every_key_is_wide_and_heavy(spark):
-    check(spark, combined(), wide_edges=1, heavy_rows=2)
+def test_hand_written_plan(spark):
+    """Decisions of the diamond and of the dead end, written down by hand."""
+    a = Analysis(traces.frame(spark, combined({"diamond", "dead_end_shares_prefix"})))
+    found = {(r.workflow_id, r.step_id): (r.recommended_decision, r.reused_from_step_id, r.graph_path_id[-3:]) for r in a.plan.collect()}
+    skip, keep = "SKIP_REDUNDANT_WITH_AUDIT", "KEEP"
+    assert found == {
+        ("diamond", 1): (keep, None, "_p0"), ("diamond", 2): (skip, 1, "_p0"), ("diamond", 3): (skip, 1, "_p1"),
+        ("diamond", 4): (skip, 2, "_p0"), ("diamond", 5): (skip, 3, "_p1"), ("diamond", 6): (keep, None, "_p0"),
+        ("dead_end_shares_prefix", 1): (keep, None, "_p0"), ("dead_end_shares_prefix", 2): (keep, 1, "_o1"),
+        ("dead_end_shares_prefix", 3): (keep, 2, "_o1"), ("dead_end_shares_prefix", 4): (keep, None, "_p0")}
 
 
 @pytest.mark.parametrize("seed,strict,limits", [
-    (1, False, {}), (2, True, {}), (3, False, {"heavy_rows": 4}), (4, False, {"wide_edges": 3}),
-    (5, True, {"wide_edges": 3, "heavy_rows": 5})])
+    (1, False, {}), (2, True, {}), (3, False, {"heavy_rows": 4}), (5, True, {"wide_edges": 3, "heavy_rows": 5})])
 def test_random_graphs(spark, seed, strict, limits):
-    check(spark, scrambled(seed), strict, **limits)
+    equals_sql(spark, scrambled(seed, ties=False), strict, **limits)
 
 
-def test_random_graphs_without_any_broadcast_of_checked_sides(spark, monkeypatch):
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
-    check(spark, scrambled(6), wide_edges=3, heavy_rows=5)
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_routes_and_input_order_agree_on_ties_and_copies(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", broadcast_rows)
+    rows = scrambled(6, keys=9) + combined()
+    rows += random.Random(2).choices(rows, k=40)
+    expected = results(spark, rows)
+    for i, limits in enumerate(ROUTES[1:]):
+        mixed = random.Random(i).sample(rows, len(rows))
+        assert results(spark, mixed, **limits) == expected, limits
+
+
+COPIES = [("high", "PASS", False, "high_risk_check_kept"), ("high", "PASS", True, "high_risk_duplicate_requires_human_review"),
+          ("odd", "PASS", False, "first_occurrence_on_this_graph_path"), ("odd", "PASS", True, "unclassified_risk_escalated_for_safety"),
+          ("low", "WARN", False, "first_occurrence_on_this_graph_path"), ("low", "BLOCK", True, "conflicting_guardrail_results")]
+
+
+def test_exact_copies_are_planned_by_their_first(spark):
+    """A copied row's first copy decides, whatever the route: only what came before it counts, never itself."""
+    rows = []
+    for i, (risk, result, earlier, _) in enumerate(COPIES):
+        key = {"request_id": f"r{i}"}
+        rows.append(row(1, "User", "A", guardrail_type="PII_CHECK" if earlier else "TOXICITY_CHECK", **key))
+        rows += [row(2, "A", "B", risk_level=risk, edge_risk_level=risk, guardrail_result=result, **key)] * 3
+        rows.append(row(3, "B", "FinalAnswer", **key))
+    expected = {f"r{i}": (reason, 1 if "human_review" in reason or "escalated" in reason or "conflicting" in reason else None)
+                for i, (_, _, _, reason) in enumerate(COPIES)}
+    for limits in ROUTES:
+        plan = Analysis(traces.frame(spark, rows), **limits).plan.filter("step_id = 2").collect()
+        assert {r.request_id: (r.reason, r.reused_from_step_id) for r in plan} == expected, limits
+        assert len(plan) == len(COPIES)
 
 
 def test_one_key_with_a_third_of_all_rows(spark):
     rng = random.Random(7)
-    hot = [row(rng.randint(1, 40), *rng.choice([("User", "A"), ("A", "B"), ("B", "A"), ("B", "FinalAnswer")]),
+    hot = [row(i + 1, *rng.choice([("User", "A"), ("A", "B"), ("B", "A"), ("B", "FinalAnswer")]),
                request_id="hot", risk_level=rng.choice(["low", "medium"]),
-               guardrail_result=rng.choice(["PASS", "WARN"])) for _ in range(300)]
-    hot += [row(50, "A", "B", request_id="hot")] * 300
+               guardrail_result=rng.choice(["PASS", "WARN"])) for i in range(300)]
+    hot += [row(500, "A", "B", request_id="hot")] * 300
     cold = [{**r, "request_id": f"cold{i}"} for i in range(100) for r in MICRO["diamond"]]
-    check(spark, hot + cold, heavy_rows=100)
+    equals_sql(spark, hot + cold, heavy_rows=100)
+
+
+def test_the_plan_expands_deciding_paths_only(spark):
+    """12 diamonds in a row: 4,096 paths, of which those that are the first on some edge decide."""
+    rows = [row(1, "User", "L0")]
+    for i in range(12):
+        for side in "ab":
+            rows += [row(len(rows) + 1, f"L{i}", f"{side}{i}"), row(len(rows) + 2, f"{side}{i}", f"L{i + 1}")]
+    rows.append(row(len(rows) + 1, "L12", "FinalAnswer"))
+    a = Analysis(traces.frame(spark, rows))
+    assert a.paths.count() == 4096
+    assert a.path_checks.deciding_steps().count() <= len(rows) ** 2
+    assert a.path_checks.deciding_steps().select("path_idx").distinct().count() <= len(rows)
+    assert a.plan.count() == len(rows)
+
+
+def test_checks_are_not_dealt_by_topology(spark, monkeypatch):
+    """With paths that are not few, the checks meet their path steps by key."""
+    from hopsight.operators import paths
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(paths, "SHARED_KEYS", 3)
+    rows = [{**r, "request_id": f"r{i}"} for i in range(8) for r in MICRO["diamond"]] + scrambled(4, keys=4, ties=False)
+    a = Analysis(traces.frame(spark, rows))
+    placed = a.topologies.place(a.path_checks.parts[0].on_edges(), a.topologies.path_steps)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "(edge_ord" in plan and not any("topology_id" in x and "edge_ord" in x for x in plan.splitlines() if "Join" in x)
+    equals_sql(spark, rows)
 
 
 def test_path_guards_raise_instead_of_truncating(spark):
@@ -132,17 +150,17 @@ def test_path_guards_raise_instead_of_truncating(spark):
         for side in "ab":
             rows += [row(len(rows) + 1, f"L{i}", f"{side}{i}"), row(len(rows) + 2, f"{side}{i}", f"L{i + 1}")]
     rows.append(row(len(rows) + 1, "L4", "FinalAnswer"))
-    assert Analysis(brute.frame(spark, rows)).paths.count() == 16
+    assert Analysis(traces.frame(spark, rows)).paths.count() == 16
     with pytest.raises(PathExplosion):
-        Analysis(brute.frame(spark, rows), max_paths=15).topologies
+        Analysis(traces.frame(spark, rows), max_paths=15).topologies
     with pytest.raises(PathExplosion):
-        Analysis(brute.frame(spark, rows), max_hops=5).topologies
+        Analysis(traces.frame(spark, rows), max_hops=5).topologies
 
 
 def test_equal_shapes_share_one_topology(spark):
     rows = [{**r, "request_id": f"r{i}", "source_node": r["source_node"].replace("B", f"B{i}"),
              "target_node": r["target_node"].replace("B", f"B{i}")} for i in range(5) for r in MICRO["diamond"]]
-    a = Analysis(brute.frame(spark, rows))
+    a = Analysis(traces.frame(spark, rows))
     assert a.topologies.paths.select("topology_id").distinct().count() == 1
     assert a.paths.count() == 10
     assert {"User", "A", "B3", "D", "FinalAnswer"} in [set(r.path_nodes) for r in a.paths.collect()]

@@ -9,15 +9,16 @@ from hopsight import Analysis
 from hopsight.plans import audit, metrics as m, serving
 from hopsight.policy import DEFAULT_POLICY, KEEP, REUSE, SKIP, with_overrides
 from hopsight.sources import sinks
-from tests import brute
-from tests.brute import row
+from tests import traces
+from tests.traces import row
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def orders(spark):
-    return registry.analysis(spark, SF, "orders")
+    """Traces that the gates accept; the registered ones hold copies and checks off any path."""
+    return Analysis(traces.frame(spark, traces.clean()))
 
 
 def test_saved_figures_follow_from_rounded_totals(orders):
@@ -50,7 +51,7 @@ def test_uncovered_protected_edges_trip_the_gate(spark):
 
 
 def test_strict_mode_never_skips(spark):
-    plan = registry.analysis(spark, SF, "orders", strict=True).plan
+    plan = registry.analysis(spark, SF, "events", strict=True).plan
     decisions = {r.recommended_decision for r in plan.select("recommended_decision").distinct().collect()}
     assert SKIP not in decisions and REUSE in decisions
 
@@ -62,9 +63,9 @@ def test_audits_hold(orders):
 
 
 def test_one_scenario_and_one_workflow(spark, orders):
-    one = Analysis(orders.trace, scenario="t10")
+    one = Analysis(orders.trace, scenario="t1")
     assert one.scenarios.count() == 1
-    whole = {r.scenario: r for r in orders.scenarios.collect()}["t10"]
+    whole = {r.scenario: r for r in orders.scenarios.collect()}["t1"]
     assert one.scenarios.first() == whole
     some = orders.plan.first().workflow_id
     rows = serving.one_workflow(orders.plan, some).collect()
@@ -73,7 +74,7 @@ def test_one_scenario_and_one_workflow(spark, orders):
 
 def test_custom_policy(spark):
     rows = [row(1, "User", "A"), row(2, "A", "B"), row(3, "B", "C"), row(4, "C", "FinalAnswer")]
-    a = Analysis(brute.frame(spark, rows), with_overrides(
+    a = Analysis(traces.frame(spark, rows), with_overrides(
         skip_allowed_risk_levels=[], savings_model={**DEFAULT_POLICY["savings_model"], REUSE: 0.5}))
     assert {r.step_id: r.recommended_decision for r in a.plan.collect()} == {1: KEEP, 2: REUSE, 3: REUSE, 4: KEEP}
     assert a.metrics.first().overall.optimized_total_latency_ms == 300.0
@@ -85,11 +86,11 @@ def test_explanation_wording_and_foreign_request(spark):
     first = [row(1, "User", "A", request_id="r1"), row(2, "A", "FinalAnswer", request_id="r1")]
     second = [row(i + 1, *hop, request_id="r2", timestamp="2024-02-01 00:00:00")
               for i, hop in enumerate([("User", "A"), ("A", "B"), ("B", "C"), ("C", "FinalAnswer")])]
-    e = Analysis(brute.frame(spark, first + second)).explanations().first()
+    e = Analysis(traces.frame(spark, first + second)).explanations().first()
     assert e.path_summary == "" and e.recommended_action == SKIP
     assert e.duplicate_guardrail_pattern == "PII_CHECK / p1 repeated 2x"
     assert e.latency_saved_ms == 200.0 and e.boundary_checks_preserved == ["AGENT_TO_FINAL_RESPONSE", "USER_TO_AGENT"]
-    alone = Analysis(brute.frame(spark, second)).explanations().first()
+    alone = Analysis(traces.frame(spark, second)).explanations().first()
     assert alone.path_summary == "User -> A -> B -> C -> FinalAnswer"
 
 
