@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import components, cut, read
 
 #: Vectors per cell aimed at, cells at most, sampled vectors per cell to fit them on, and rounds of fitting.
-PER_CELL, MAX_CELLS, SAMPLE_PER_CELL, FITS = 500, 4096, 32, 8
+PER_CELL, MAX_CELLS, SAMPLE_PER_CELL, FITS = 2048, 4096, 32, 8
 #: Vectors on either side of a block.
-BLOCK = 1024
+BLOCK = 2048
 _EPS = 1e-9
 
 
@@ -46,7 +46,10 @@ def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    """Vectors of length 1 from the bytes of their components, which are floats or doubles as in the table."""
+    raw = b"".join(column.to_pylist())
+    wide = len(raw) == 8 * dim * len(column)
+    return unit(np.frombuffer(raw, np.float64 if wide else np.float32).reshape(-1, dim)) if raw else np.empty((0, dim))
 
 
 def _assign(centroids: np.ndarray, threshold: float) -> Callable:
@@ -59,7 +62,8 @@ def _assign(centroids: np.ndarray, threshold: float) -> Callable:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 values = part.column("e")
-                x = unit(values.flatten().to_numpy().reshape(len(values), -1))
+                raw = values.flatten().to_numpy().reshape(len(values), -1)
+                x = unit(raw)
                 near = x @ centroids.T
                 home = near.argmax(axis=1)
                 best = near[np.arange(len(x)), home]
@@ -67,7 +71,7 @@ def _assign(centroids: np.ndarray, threshold: float) -> Callable:
                 visits[np.arange(len(x)), home] = True
                 row, cell = np.nonzero(visits)
                 kind = np.where(cell != home[row], 2, np.where(best[row] >= core, 0, 1))
-                bodies = [v.tobytes() for v in x]
+                bodies = [v.tobytes() for v in raw]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cell, pa.int32()), pa.array(kind, pa.int32()), part.column("vid").take(pa.array(row)),
                     part.column("weight").take(pa.array(row)), pa.array([bodies[r] for r in row], pa.binary())],
@@ -113,7 +117,7 @@ def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     counts = {}
     for r in placed.groupBy("cell", "kind").count().collect():
         counts[r["cell"], r["kind"]] = r["count"]
-    chunks = [(c, *(max(1, -(-x // BLOCK)) for x in (counts.get((c, 0), 0), counts.get((c, 1), 0), counts.get((c, 1), 0) + counts.get((c, 2), 0))))
+    chunks = [(c, *(-(-x // BLOCK) for x in (counts.get((c, 0), 0), counts.get((c, 1), 0), counts.get((c, 1), 0) + counts.get((c, 2), 0))))
               for c in range(cells)]
     sizes = F.broadcast(spark.createDataFrame(chunks, "cell int, n_core int, n_rim int, n_other int"))  # MAX_CELLS rows at most
     rows = placed.join(sizes, "cell")
@@ -121,7 +125,7 @@ def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     def side(kinds: str, which: int, form: int, own: str, other: str) -> DataFrame:
         chunk, all_of = F.pmod(F.xxhash64("vid"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         i, j = (chunk, all_of) if which == 0 else (all_of, chunk)
-        return rows.filter(f"kind IN ({kinds})").select("cell", F.lit(form).alias("form"), i.alias("i"), j.alias("j"),
+        return rows.filter(f"kind IN ({kinds}) AND {other} > 0").select("cell", F.lit(form).alias("form"), i.alias("i"), j.alias("j"),
                                                         F.lit(which).alias("side"), "vid", "weight", "vector")
     blocks = (side("0", 0, 0, "n_core", "n_other").unionByName(side("1,2", 1, 0, "n_other", "n_core"))
               .unionByName(side("1", 0, 1, "n_rim", "n_core")).unionByName(side("0", 1, 1, "n_core", "n_rim"))
