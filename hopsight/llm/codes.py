@@ -161,14 +161,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     w = f"(len(v) // {PARTS})"
-    out = [f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) v
-        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    out = [f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     parts AS MATERIALIZED (SELECT vec_id, p, v[p * {w} + 1:(p + 1) * {w}] AS v FROM kept, range({PARTS}) t(p)),
     firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {ENTRIES}),
     book0 AS MATERIALIZED (SELECT p, e, v FROM parts JOIN firsts USING (vec_id))"""]
     for k in range(ROUNDS + 1):
         out.append(f"""near{k} AS MATERIALIZED (SELECT x.vec_id, x.p, any_value(x.v) AS v,
-            min(CAST(list_sum(list_transform(list_zip(x.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {ENTRIES} + b.e) AS m
+            min(CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {ENTRIES} + b.e) AS m
         FROM parts x JOIN book{k} b USING (p) GROUP BY x.vec_id, x.p)""")
         if k < ROUNDS:
             out.append(f"""sums{k} AS (SELECT p, m % {ENTRIES} AS e, i, sum(v[i]) AS s, count(*) AS n FROM near{k}, generate_series(1, len(v)) t(i) GROUP BY ALL),
