@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hopsight.policy import AGENT_TO_TOOL, INTERNAL, TO_FINAL, TOOL_TO_AGENT, USER_TO_AGENT
 from hopsight.schema import MONEY, TRACE
-
-# `wordPolicy` stays raw JSON: an empty object and an absent one mean different things.
-SESSION = """
-    agentId string, sessionId string,
-    traceEvents array<struct<
-      eventOrder: int, eventType: string, sourceNode: string, targetNode: string, inputText: string,
-      outputText: string, riskTag: string, modelId: string, latencyMs: double, usageUnits: double,
-      timestamp: string,
-      guardrailTrace: struct<guardrailId: string, guardrailVersion: string, assessments: array<struct<
-        contentPolicy: struct<filters: array<struct<
-          type: string, confidence: string, filterStrength: string, action: string>>>,
-        sensitiveInformationPolicy: struct<piiEntities: array<struct<type: string, match: string, action: string>>>,
-        wordPolicy: string,
-        contextualGroundingPolicy: struct<filters: array<struct<
-          type: string, score: double, threshold: double, action: string>>>>>>>>
+from hopsight.sources.records import CORRUPT, FILE, REASON, RECORD, Checked
+
+# Events come as JSON text, so that a null text and an absent one can be told apart.
+SESSION = "agentId string, sessionId string, traceEvents array<string>"
+# `wordPolicy` stays raw JSON: an empty object and an absent one mean different things. Numbers may be given as text.
+EVENT = """
+    eventOrder int, eventType string, sourceNode string, targetNode string, inputText string,
+    outputText string, riskTag string, modelId string, latencyMs string, usageUnits string, timestamp string,
+    guardrailTrace struct<guardrailId: string, guardrailVersion: string, assessments: array<struct<
+      contentPolicy: struct<filters: array<struct<
+        type: string, confidence: string, filterStrength: string, action: string>>>,
+      sensitiveInformationPolicy: struct<piiEntities: array<struct<type: string, match: string, action: string>>>,
+      wordPolicy: string,
+      contextualGroundingPolicy: struct<filters: array<struct<
+        type: string, score: string, threshold: string, action: string>>>>>>
 """
 WORDS = "struct<customWords: array<struct<match: string, action: string>>>"
 
@@ -47,14 +47,62 @@ RISK_WORDS = {"finance": "high", "payment": "high", "health": "high", "medical":
 COST_PER_UNIT_USD = 0.000075
 
 
+def session_records(spark: SparkSession, path: str | list[str], multiline: bool = True) -> Checked:
+    """Sessions from files that hold one object, a list, or (not `multiline`) an object a line.
+
+    Malformed files or lines, values of a wrong type anywhere in a session, and files without any JSON are rejects; a
+    truncated file is one reject, with all its sessions.
+    """
+    raw = (spark.read.schema(f"{SESSION}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
+           .json(path, multiLine=multiline).withColumn(FILE, F.col("_metadata.file_path")))
+    checked = _judged(raw)
+    if not multiline:
+        return checked
+    # file names and sizes only; the content is read of the smallest files
+    blank = (spark.read.format("binaryFile").load(path).filter("length < 64").filter(F.trim(F.translate(F.col("content").cast("string"), "\t\n\r", "   ")) == "")
+             .select(F.col("path").alias(FILE), F.lit("").alias(RECORD), F.lit("no JSON").alias(REASON)))
+    return Checked(checked.judged.unionByName(blank, allowMissingColumns=True))
+
+
 def read_sessions(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
-    """One row per session object, from files that hold one object, a list, or a line per object."""
-    return spark.read.schema(SESSION).json(path, multiLine=multiline)
+    """One row per session object; reading a malformed one raises. `session_records` sets rejects apart instead."""
+    return session_records(spark, path, multiline).strict()
+
+
+def text_records(texts: DataFrame, column: str) -> Checked:
+    """Sessions from a column of JSON texts, one object each."""
+    parsed = F.from_json(column, f"{SESSION}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    return _judged(texts.select(F.lit(None).cast("string").alias(FILE), F.col(column).alias(RECORD), parsed.alias("s")).select(FILE, RECORD, "s.*"))
 
 
 def parse_sessions(texts: DataFrame, column: str) -> DataFrame:
-    """The same rows from a column of JSON texts."""
-    return texts.select(F.from_json(column, SESSION).alias("s")).select("s.*")
+    """The rows of `read_sessions` from a column of JSON texts; a malformed one raises."""
+    return text_records(texts, column).strict()
+
+
+def _no_number(x: Column) -> Column:
+    return x.isNotNull() & x.try_cast("double").isNull()
+
+
+def _judged(raw: DataFrame) -> Checked:
+    parsed = F.transform("traceEvents", lambda t: F.struct(t.alias("text"), F.from_json(
+        t, f"{EVENT}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}).alias("event")))
+
+    def broken(x: Column) -> Column:
+        e = x.event
+        scores = F.exists(e.guardrailTrace.assessments, lambda a: F.coalesce(F.exists(
+            a.contextualGroundingPolicy.filters, lambda f: _no_number(f.score) | _no_number(f.threshold)), F.lit(False)))
+        return (e.isNull() | e[CORRUPT].isNotNull() | _no_number(e.latencyMs) | _no_number(e.usageUnits)
+                | F.coalesce(scores, F.lit(False)))
+
+    at = F.array_position(F.transform("parsed", broken), True)
+    events = F.transform("parsed", lambda x: x.event.dropFields(CORRUPT).withField("outputNull", F.when(
+        x.event.outputText.isNull(), F.array_contains(F.json_object_keys(x.text), "outputText")).otherwise(F.lit(False))))
+    reason = (F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed JSON or a value of a wrong type"))
+              .when(F.coalesce(at, F.lit(0)) > 0, F.concat(F.lit("a value of a wrong type in traceEvents["), (at - 1).cast("string"), F.lit("]"))))
+    record = F.coalesce(CORRUPT, F.col(RECORD) if RECORD in raw.columns else F.to_json(F.struct("agentId", "sessionId", "traceEvents")))
+    return Checked(raw.withColumn("parsed", parsed).select("agentId", "sessionId", events.alias("traceEvents"), FILE,
+                                                           record.alias(RECORD), reason.alias(REASON)))
 
 
 def _lookup(values: dict, key: Column, default) -> Column:
@@ -109,8 +157,8 @@ def _words(a: Column) -> Column:
 
 def _grounding(a: Column) -> Column:
     def check(f: Column) -> Column:
-        score = F.coalesce(f.score, F.lit(1.0))
-        enough = score >= F.coalesce(f.threshold, F.lit(0.75))
+        score = F.coalesce(f.score.try_cast("double"), F.lit(1.0))
+        enough = score >= F.coalesce(f.threshold.try_cast("double"), F.lit(0.75))
         action = F.coalesce(f.action, F.lit("NONE"))
         fallback = F.when(enough, "PASS").otherwise("WARN")
         result = F.when(action.isin(list(ACTION_RESULT)), _result(action)).otherwise(fallback)
@@ -136,7 +184,7 @@ def _hop(e: Column) -> Column:
     """The columns that every check of one event shares; texts leave only as fingerprints."""
     boundary = _lookup(EVENT_BOUNDARY, F.coalesce(e.eventType, F.lit("ORCHESTRATION")), INTERNAL)
     source, target = F.coalesce(e.sourceNode, F.lit("User")), F.coalesce(e.targetNode, F.lit("FinalAnswer"))
-    units = F.coalesce(e.usageUnits, F.lit(1.0))
+    units = F.coalesce(e.usageUnits.try_cast("double"), F.lit(1.0))
     trace = e.guardrailTrace
     return F.struct(
         source.alias("source_node"), target.alias("target_node"), boundary.alias("trust_boundary"),
@@ -144,9 +192,10 @@ def _hop(e: Column) -> Column:
         F.concat(F.coalesce(trace.guardrailId, F.lit("unspecified")), F.lit(":"),
                  F.coalesce(trace.guardrailVersion, F.lit("1"))).alias("policy_id"),
         _fingerprint(e.inputText).alias("input_text_hash"),
-        _fingerprint(F.coalesce(e.outputText, e.inputText)).alias("output_text_hash"),
+        # an absent output is the input; one given as null is empty
+        _fingerprint(F.when(e.outputNull, F.lit("")).otherwise(F.coalesce(e.outputText, e.inputText))).alias("output_text_hash"),
         _risk(e, source, target).alias("risk_level"),
-        F.coalesce(e.latencyMs, F.lit(100.0)).cast(MONEY).alias("latency_ms"),
+        F.coalesce(e.latencyMs.try_cast("double"), F.lit(100.0)).cast(MONEY).alias("latency_ms"),
         F.round(units * COST_PER_UNIT_USD, 6).cast(MONEY).alias("estimated_cost_usd"),
         F.coalesce(e.timestamp, F.lit("")).alias("timestamp"))
 
