@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hopsight.operators.graph import is_protected
+from hopsight.operators import shapes
 from hopsight.operators.path_checks import Part, PathChecks
 from hopsight.operators.paths import node_names
 from hopsight.policy import AGENT_TO_TOOL, INTERNAL, TO_FINAL, TOOL_TO_AGENT
@@ -58,27 +59,37 @@ def _repeats(path_checks: PathChecks) -> DataFrame:
     return path_checks.per_part(build)
 
 
+def _extra(edges: DataFrame) -> DataFrame:
+    return edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra"))
+
+
 def _busiest_path(path_checks: PathChecks) -> DataFrame:
     topo = path_checks.topo
-    paths = topo.paths.select("topology_id", "path_idx", "labels")
+    paths, steps = topo.paths.select("topology_id", "path_idx", "labels"), topo.path_steps
+    if topo.dense is not None:
+        steps = steps.join(topo.dense.select("topology_id"), "topology_id", "left_anti")
 
     def build(part: Part) -> DataFrame:
-        scored = (topo.place(part.edges.select(*KEY, "topology_id", "edge_ord", (F.col("check_count") - 1).alias("extra")), topo.path_steps)
+        scored = (topo.place(_extra(part.edges), steps)
                   .groupBy(*KEY, "topology_id", "path_idx").agg(F.sum("extra").alias("score")))
         return (scored.groupBy(*KEY, "topology_id")
                 .agg(F.max(F.struct("score", (-F.col("path_idx")).alias("rank"))).alias("best"))
                 .select(*KEY, "topology_id", (-F.col("best.rank")).alias("path_idx")))
 
-    return (topo.per_key(path_checks.per_part(build), paths, on=("topology_id", "path_idx")).join(topo.keys.select(*KEY, "names"), KEY)
+    found = topo.per_key(path_checks.per_part(build), paths, on=("topology_id", "path_idx")).select(*KEY, "labels")
+    if topo.dense is not None:  # keys with few edges, all of them in one array
+        extra = F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "extra"))), lambda x: x.extra)
+        weighed = topo.per_key(_extra(topo.edges), topo.dense).groupBy(*KEY).agg(
+            extra.alias("extra"), F.any_value("kinds").alias("kinds"), F.any_value("links").alias("links"))
+        found = found.unionByName(shapes.busiest(weighed))
+    return (found.join(topo.keys.select(*KEY, "names"), KEY)
             .select(*KEY, F.array_join(node_names("labels", "names"), " -> ").alias("highest_redundancy_path")))
 
 
 def workflow_features(path_checks: PathChecks, weights: dict) -> DataFrame:
     topo = path_checks.topo
     sums = path_checks.per_part(lambda part: _edge_sums(part.edges, weights))
-    routes = topo.paths.groupBy("topology_id").agg(
-        F.count("*").alias("path_count"), F.max(F.size("edge_ords")).alias("max_path_length"))
-    nodes = (topo.per_key(topo.keys, routes, "left")
+    nodes = (topo.per_key(topo.keys, topo.routes, "left")
              .select(*KEY, "node_count", "high_risk_node_count", "path_count", "max_path_length"))
     joined = (sums.join(nodes, KEY).join(_repeats(path_checks), KEY)
               .join(_busiest_path(path_checks), KEY, "left"))

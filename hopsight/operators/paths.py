@@ -3,6 +3,8 @@
 Path sets depend only on the order of edges and the node types. Keys with few edges are
 therefore renamed to ordinals and reduced to distinct topologies, each enumerated once. A key
 with many edges is its own topology and stays in rows, so no array grows with the data.
+A dense topology, one without cycles but with many paths, is not enumerated unless its paths
+are asked for: `shapes` answers how many there are, which edges they cover, and which decide.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hopsight import session
 from hopsight.functions.ordered import position_in_group
+from hopsight.operators import shapes as shape_ops
 from hopsight.operators.graph import node_rollup
 from hopsight.schema import KEY
 from hopsight.session import bounded, is_small
 
 WIDE_EDGES = 256
 WIDE_PATHS = 1_000_000
+DENSE_PATHS = 4096
 FRONTIER_ROWS_PER_TASK = 200_000
 SHARED_KEYS = 1_000
 
@@ -35,10 +39,26 @@ class Topologies:
     edges: DataFrame           # rollup columns + topology_id, edge_ord; few-edge keys, by key
     wide_edges: DataFrame | None   # the same for keys with many edges
     wide_nodes: DataFrame | None   # key, node_ord, node_name of those keys
-    paths: DataFrame           # topology_id, path_idx, path_type, labels, edge_ords
-    path_steps: DataFrame      # topology_id, path_idx, path_type, pos, edge_ord, first_path
+    paths: DataFrame           # topology_id, path_idx, path_type, labels, edge_ords; of dense topologies the deciding ones
+    path_steps: DataFrame      # topology_id, path_idx, path_type, pos, edge_ord, first_path; the same
     path_edges: int            # rows of `path_steps`
     max_load: int              # no key expands to more (check, path) rows than this
+    routes: DataFrame          # topology_id, path_count, max_path_length
+    covered: DataFrame         # topology_id, edge_ord on any path
+    dense: DataFrame | None    # topology_id, kinds, links of dense topologies
+    list_dense: Callable[[], DataFrame] | None   # enumerates their paths
+
+    @cached_property
+    def every_path(self) -> DataFrame:
+        """All paths of all topologies, the dense ones enumerated now."""
+        if self.dense is None:
+            return self.paths
+        listed = self.paths.join(self.dense.select("topology_id"), "topology_id", "left_anti")
+        return listed.unionByName(self.list_dense()).checkpoint()
+
+    @cached_property
+    def every_step(self) -> DataFrame:
+        return self.path_steps if self.dense is None else _steps(self.every_path)
 
     def side(self, df: DataFrame) -> DataFrame:
         """Broadcast `df`, which has at most the rows of `path_steps`, if those are proven few."""
@@ -63,6 +83,14 @@ class Topologies:
         return (keys.join(self.shared, "topology_id", "left_semi").join(shared, list(on), how)
                 .unionByName(keys.join(self.shared, "topology_id", "left_anti").join(rare, list(on), how)))
 
+    def uncovered(self, edges: DataFrame) -> DataFrame:
+        """The edges of `edges` that lie on no path; dealt by topology only where few steps allow a broadcast."""
+        on = ["topology_id", "edge_ord"]
+        if self.path_edges <= session.BROADCAST_ROWS:
+            return edges.join(F.broadcast(self.covered), on, "left_anti")
+        by_key = self.per_key(self.keys.select(*KEY, "topology_id"), self.covered).drop("topology_id")
+        return edges.join(by_key, [*KEY, "edge_ord"], "left_anti")
+
     def place(self, rows: DataFrame, steps: DataFrame) -> DataFrame:
         """Rows on edges, which may be as many as the trace's, with the path steps of their edge.
 
@@ -86,7 +114,7 @@ def node_names(labels: str, names: str) -> Column:
 
 
 def build(edges: DataFrame, hold: Callable[..., DataFrame], wide_edges: int = WIDE_EDGES,
-          max_hops: int | None = None, max_paths: int | None = None) -> Topologies:
+          max_hops: int | None = None, max_paths: int | None = None, dense_paths: int = DENSE_PATHS) -> Topologies:
     """`edges` is the persisted edge rollup; `hold` persists tables that several results read."""
     sizes = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("check_count").alias("checks"))
     most_edges, most_checks = (x or 0 for x in sizes.agg(F.max("n"), F.max("checks")).first())
@@ -95,7 +123,22 @@ def build(edges: DataFrame, hold: Callable[..., DataFrame], wide_edges: int = WI
         wide_keys = bounded(sizes.filter(F.col("n") > wide_edges).select(*KEY))
         few = edges.join(wide_keys, KEY, "left_anti")
         many = edges.join(wide_keys, KEY, "left_semi")
-    keys, shape_edges, shape_nodes, ordered = _few(few, hold)
+    keys, shapes, ordered = _few(few, hold)
+    dense = list_dense = answered = None
+    answers = shape_ops.answers(shapes, dense_paths).checkpoint()
+    is_dense = F.col("acyclic") & (F.col("path_count") > dense_paths)
+    n_dense, most_dense, most_steps = answers.agg(F.count_if(is_dense), F.max("path_count"), F.max(F.aggregate(
+        "deciding", F.lit(0), lambda n, p: n + F.size(p.edge_ords)))).first()
+    if n_dense:
+        _guard(int(most_dense), (1 << 63) - 1 if max_paths is None else max_paths)
+        answered = answers.filter(is_dense)
+        ids = bounded(answered.select("topology_id"))
+        dense = shapes.join(ids, "topology_id", "left_semi")
+        shapes = shapes.join(ids, "topology_id", "left_anti")
+
+        def list_dense() -> DataFrame:
+            return _enumerate(*_shape_rows(dense), max_hops)
+    shape_edges, shape_nodes = _shape_rows(shapes)
     wide = wide_nodes = None
     if many is not None:
         wide_info, wide, wide_shape_edges, nodes = _many(many)
@@ -105,14 +148,39 @@ def build(edges: DataFrame, hold: Callable[..., DataFrame], wide_edges: int = WI
         shape_edges = shape_edges.unionByName(wide_shape_edges)
         shape_nodes = shape_nodes.unionByName(wide_shape_nodes)
     paths = _enumerate(shape_edges, shape_nodes, max_hops)
-    per_graph = paths.groupBy("topology_id").agg(F.count("*").alias("n"), F.sum(F.size("edge_ords")).alias("edges"))
-    path_edges, most_paths = (x or 0 for x in per_graph.agg(F.sum("edges"), F.max("n")).first())
-    if max_paths is not None and most_paths > max_paths:
-        raise PathExplosion(f"a graph has {most_paths} paths, more than {max_paths}")
-    steps = paths.select("topology_id", "path_idx", "path_type", F.posexplode("edge_ords").alias("pos", "edge_ord"))
+    routes = paths.groupBy("topology_id").agg(
+        F.count("*").alias("path_count"), F.max(F.size("edge_ords")).alias("max_path_length"), F.sum(F.size("edge_ords")).alias("edges"))
+    path_edges, most_paths = (x or 0 for x in routes.agg(F.sum("edges"), F.max("path_count")).first())
+    _guard(most_paths, max_paths)
+    routes, covered = routes.drop("edges"), paths.select("topology_id", F.explode("edge_ords").alias("edge_ord")).distinct()
+    steps = _steps(paths)
+    if answered is not None:
+        deciding = answered.select("topology_id", F.explode("deciding").alias("p")).select("topology_id", "p.*")
+        paths = paths.unionByName(deciding.drop("first_for"))
+        first = deciding.select("topology_id", F.col("path_idx").alias("first_path"), F.explode("first_for").alias("edge_ord"))
+        steps = steps.unionByName(_flat_steps(deciding).join(first, ["topology_id", "edge_ord"]))
+        routes = routes.unionByName(answered.select("topology_id", F.col("path_count").cast("long").alias("path_count"), "max_path_length"))
+        covered = covered.unionByName(answered.select("topology_id", F.explode("covered").alias("edge_ord")))
+        path_edges += n_dense * most_steps
+        most_paths = max(most_paths, wide_edges)
+    steps = steps.checkpoint()
+    return Topologies(keys, ordered, wide, wide_nodes, paths, steps, path_edges, most_checks * max(most_paths, 1),
+                      routes, covered, dense, list_dense)
+
+
+def _guard(paths: int, most: int | None) -> None:
+    if most is not None and paths > most:
+        raise PathExplosion(f"a graph has {paths} paths, more than {most}")
+
+
+def _flat_steps(paths: DataFrame) -> DataFrame:
+    return paths.select("topology_id", "path_idx", "path_type", F.posexplode("edge_ords").alias("pos", "edge_ord"))
+
+
+def _steps(paths: DataFrame) -> DataFrame:
+    steps = _flat_steps(paths)
     first = steps.groupBy("topology_id", "edge_ord").agg(F.min("path_idx").alias("first_path"))
-    steps = steps.join(first, ["topology_id", "edge_ord"]).checkpoint()
-    return Topologies(keys, ordered, wide, wide_nodes, paths, steps, path_edges, most_checks * max(most_paths, 1))
+    return steps.join(first, ["topology_id", "edge_ord"])
 
 
 def _few(edges: DataFrame, hold: Callable[..., DataFrame]):
@@ -145,12 +213,17 @@ def _few(edges: DataFrame, hold: Callable[..., DataFrame]):
                .select(*KEY, "topology_id", "edge_ord", *[F.col(f"hop.{c}") for c in payload]))
     shapes = hold(shaped.groupBy("topology_id")
                   .agg(F.any_value("kinds").alias("kinds"), F.any_value("links").alias("links")))
+    return keys, shapes, ordered
+
+
+def _shape_rows(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges and the nodes of topologies, a row each."""
     shape_edges = (shapes.select("topology_id", F.posexplode("links").alias("edge_ord", "link"))
                    .select("topology_id", "edge_ord", F.substring_index("link", ">", 1).alias("src"),
                            F.substring_index("link", ">", -1).alias("tgt")))
     shape_nodes = (shapes.select("topology_id", F.posexplode("kinds").alias("node_ord", "kind"))
                    .select("topology_id", F.col("node_ord").cast("string").alias("label"), "node_ord", "kind"))
-    return keys, shape_edges, shape_nodes, ordered
+    return shape_edges, shape_nodes
 
 
 def _many(edges: DataFrame):
@@ -213,7 +286,7 @@ def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None) -> Data
     spark = edges.sparkSession
     if not found:
         return spark.createDataFrame(
-            [], "topology_id string, path_idx int, path_type string, labels array<string>, edge_ords array<int>")
+            [], "topology_id string, path_idx long, path_type string, labels array<string>, edge_ords array<int>")
     ended = found[0]
     for more in found[1:]:
         ended = ended.unionByName(more)
@@ -239,13 +312,13 @@ def _number(ended: DataFrame, at_most: int) -> DataFrame:
         numbered = ended.withColumn(
             "path_idx", F.row_number().over(W.partitionBy("topology_id").orderBy(*order)) - 1)
     kind = F.when(F.col("end_kind") == 0, "final").otherwise("orphan_branch").alias("path_type")
-    return numbered.select("topology_id", "path_idx", kind, "labels", "edge_ords").checkpoint()
+    return numbered.select("topology_id", F.col("path_idx").cast("long").alias("path_idx"), kind, "labels", "edge_ords").checkpoint()
 
 
-def path_table(topo: Topologies) -> DataFrame:
-    """All paths of all keys, named and numbered."""
-    return (topo.per_key(topo.keys, topo.paths)
-            .select(*KEY, "path_idx", "path_type", path_id().alias("path_id"),
+def path_table(topo: Topologies, paths: DataFrame | None = None) -> DataFrame:
+    """All paths of all keys, named and numbered; or those of `paths`."""
+    return (topo.per_key(topo.keys, topo.every_path if paths is None else paths)
+            .select(*KEY, F.col("path_idx").cast("int") if paths is None else "path_idx", "path_type", path_id().alias("path_id"),
                     node_names("labels", "names").alias("path_nodes"), "edge_ords"))
 
 

@@ -128,7 +128,7 @@ def missing_final_rows(edge_parts: list[DataFrame], keys: DataFrame) -> DataFram
         F.lit(None).cast("int").alias("reused_from_step_id"), F.lit(False).alias("safe_to_optimize"),
         F.concat("request_id", F.lit("_p0")).alias("graph_path_id"),
         F.lit("boundary_gap").alias("path_type"), F.lit(True).alias("protected_boundary"),
-        F.lit(True).alias("audit_required"), F.lit(None).cast("int").alias("path_idx"))
+        F.lit(True).alias("audit_required"), F.lit(None).cast("long").alias("path_idx"))
 
 
 def decision_counts(plan: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def redundant_checks(path_checks: PathChecks, paths: DataFrame, policy: dict) ->
                 .otherwise(REUSE))
 
     def build(part: Part) -> DataFrame:
-        repeated = (path_checks.along_paths(part, path_checks.topo.path_steps).filter("prev IS NOT NULL")
+        repeated = (path_checks.along_paths(part, path_checks.topo.every_step).filter("prev IS NOT NULL")
                     .withColumn("blocks", blocks).withColumn("recommended_decision", decision))
         text = paths.select(*KEY, "path_idx", F.array_join("path_nodes", " -> ").alias("path_nodes"))
         return repeated.drop("seq").join(text, [*KEY, "path_idx"])

@@ -24,11 +24,9 @@ def plan_accounting(trace: DataFrame, plan: DataFrame) -> DataFrame:
 
 def uncovered_edges(topo: Topologies) -> DataFrame:
     """Edges on no path; their checks are absent from the plan."""
-    covered = topo.side(topo.path_steps.select("topology_id", "edge_ord").distinct())
     parts = [topo.edges] + ([topo.wide_edges] if topo.wide_edges is not None else [])
     return reduce(DataFrame.unionByName, [
-        e.join(covered, ["topology_id", "edge_ord"], "left_anti")
-        .select(*KEY, "source_node", "target_node", F.col("first.trust_boundary"),
+        topo.uncovered(e).select(*KEY, "source_node", "target_node", F.col("first.trust_boundary"),
                 F.col("check_count").alias("guardrail_check_count")) for e in parts])
 
 

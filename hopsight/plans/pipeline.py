@@ -25,14 +25,15 @@ class Analysis:
 
     def __init__(self, trace: DataFrame, policy: dict | None = None, strict: bool = False,
                  scenario: str | None = None, wide_edges: int = paths.WIDE_EDGES,
-                 heavy_rows: int = HEAVY_ROWS, max_hops: int | None = None, max_paths: int | None = None):
+                 heavy_rows: int = HEAVY_ROWS, max_hops: int | None = None, max_paths: int | None = None,
+                 dense_paths: int = paths.DENSE_PATHS):
         tune(trace.sparkSession)
         self.trace = trace if scenario is None else trace.filter(F.col("workflow_template") == scenario)
         if "edge_risk_level" not in trace.columns:
             self.trace = self.trace.withColumn("edge_risk_level", F.col("risk_level"))
         self.policy = policy or DEFAULT_POLICY
         self.strict = strict
-        self._limits = (wide_edges, heavy_rows, max_hops, max_paths)
+        self._limits = (wide_edges, heavy_rows, max_hops, max_paths, dense_paths)
         self._held: list[DataFrame] = []
 
     def _hold(self, df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
@@ -62,8 +63,8 @@ class Analysis:
 
     @cached_property
     def topologies(self) -> paths.Topologies:
-        wide_edges, _, max_hops, max_paths = self._limits
-        return paths.build(self.rollup, self._hold, wide_edges, max_hops, max_paths)
+        wide_edges, _, *limits = self._limits
+        return paths.build(self.rollup, self._hold, wide_edges, *limits)
 
     @cached_property
     def path_checks(self) -> PathChecks:
@@ -109,7 +110,8 @@ class Analysis:
             lambda part: part.edges.groupBy(*KEY).agg(F.min("first_timestamp").alias("request_time")))
 
     def explanations(self, top_n: int = 25) -> DataFrame:
-        return explain.explanations(self.plan_with_paths, self.paths, self.request_times, top_n)
+        decided = paths.path_table(self.topologies, self.topologies.paths)
+        return explain.explanations(self.plan_with_paths, decided, self.request_times, top_n)
 
     def summary(self) -> DataFrame:
         return serving.run_summary(self.metrics, self.nodes, self.edges, self.redundant)

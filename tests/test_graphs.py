@@ -11,7 +11,7 @@ from tests import traces
 from tests.traces import MICRO, combined, row, scrambled
 
 TRACE = "trace AS MATERIALIZED (SELECT * FROM given)"
-ROUTES = [{}, {"heavy_rows": 1}, {"wide_edges": 1}, {"wide_edges": 3, "heavy_rows": 5}]
+ROUTES = [{}, {"heavy_rows": 1}, {"wide_edges": 1}, {"wide_edges": 3, "heavy_rows": 5}, {"dense_paths": 0}, {"dense_paths": 1, "heavy_rows": 1}]
 
 
 def equals_sql(spark, rows, strict=False, **limits):
@@ -69,7 +69,8 @@ def test_hand_written_plan(spark):
 
 
 @pytest.mark.parametrize("seed,strict,limits", [
-    (1, False, {}), (2, True, {}), (3, False, {"heavy_rows": 4}), (5, True, {"wide_edges": 3, "heavy_rows": 5})])
+    (1, False, {}), (2, True, {}), (3, False, {"heavy_rows": 4}), (5, True, {"wide_edges": 3, "heavy_rows": 5}),
+    (6, False, {"dense_paths": 0}), (7, True, {"dense_paths": 1, "heavy_rows": 4})])
 def test_random_graphs(spark, seed, strict, limits):
     equals_sql(spark, scrambled(seed, ties=False), strict, **limits)
 
@@ -157,6 +158,44 @@ def test_path_guards_raise_instead_of_truncating(spark):
         Analysis(traces.frame(spark, rows), max_hops=5).topologies
 
 
+def diamonds(n, **over):
+    """`n` diamonds in a row: 2 ** n paths."""
+    rows = [row(1, "User", "L0", **over)]
+    for i in range(n):
+        for side in "ab":
+            rows += [row(len(rows) + 1, f"L{i}", f"{side}{i}", **over), row(len(rows) + 2, f"{side}{i}", f"L{i + 1}", **over)]
+    return [*rows, row(len(rows) + 1, f"L{n}", "FinalAnswer", **over)]
+
+
+def test_dense_graphs_are_answered_without_listing_paths(spark):
+    """40 diamonds have 2 ** 40 paths; counts, coverage, the plan and the busiest path come without them."""
+    rows = diamonds(40) + [row(900, "b7", "Nowhere"), row(901, "Lost", "Lost2")] + [row(902, "b3", "L4")] * 3
+    a = Analysis(traces.frame(spark, rows + [{**r, "request_id": "small"} for r in MICRO["diamond"]]))
+    features = {r.request_id: r for r in a.features.collect()}
+    big = features["r"]
+    assert big.path_count == 2 ** 40 + 2 ** 7 and big.max_path_length == 82 and features["small"].path_count == 2
+    names = big.highest_redundancy_path.split(" -> ")
+    assert names[:2] == ["User", "L0"] and names[-1] == "FinalAnswer" and len(names) == 83 and "b3" in names and names.count("a3") == 0
+    assert all(f"a{i}" in names for i in range(40) if i != 3)
+    assert {(r.source_node, r.target_node) for r in audit.uncovered_edges(a.topologies).collect()} == {("Lost", "Lost2")}
+    plan = a.plan.filter("request_id = 'r'").collect()
+    assert sorted(r.step_id for r in plan) == [r["step_id"] for r in sorted(rows, key=lambda r: r["step_id"]) if r["step_id"] not in (901, 902)] + [902]
+    by = {r.step_id: r for r in plan}
+    assert by[2].graph_path_id == "r_p0" and by[4].graph_path_id == f"r_p{2 ** 39}" and by[900].path_type == "orphan_branch"
+    assert by[900].graph_path_id == f"r_o{2 ** 40}"
+    assert a.explanations(5).count() == 1
+    with pytest.raises(Exception, match="more than 1000"):
+        Analysis(traces.frame(spark, rows), max_paths=1000).topologies
+
+
+def test_dense_answers_equal_the_listing(spark):
+    """The same graphs with and without listing, where both can run."""
+    rows = diamonds(7) + [row(300, "a2", "End"), row(301, "L1", "L3"), row(302, "L3", "X", node_type="final"), row(303, "X", "L5")]
+    rows += [{**r, "request_id": "other"} for r in rows if r["step_id"] % 5]
+    rows += random.Random(4).choices(rows, k=60)
+    assert results(spark, rows, dense_paths=4) == results(spark, rows)
+
+
 def test_equal_shapes_share_one_topology(spark):
     rows = [{**r, "request_id": f"r{i}", "source_node": r["source_node"].replace("B", f"B{i}"),
              "target_node": r["target_node"].replace("B", f"B{i}")} for i in range(5) for r in MICRO["diamond"]]
