@@ -1,10 +1,10 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line goes down the tree by its number of tokens and its leading tokens; tokens with a digit are
-variable fields and count as one wildcard. In a leaf the line found in the most documents is the
-leader; lines that agree with it in enough tokens, position by position, share its template, whose
-differing tokens so become wildcards. A template found in enough documents recurs: its lines are
-dropped wherever they stand but for the first.
+A line goes down the tree by its number of tokens and its leading tokens; tokens with a digit are variable
+fields. In a leaf a token is fixed if it stands at its place in enough documents, and a variable field
+otherwise, so several templates of one leaf are told apart by their fixed tokens. A template must keep fixed
+tokens at half of its places at least; lines with fewer are compared by their exact words. A template found in enough
+documents recurs: its lines are dropped wherever they stand but for the first.
 """
 
 from __future__ import annotations
@@ -13,78 +13,108 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, read
 
-DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 10
+DEPTH, MIN_DOCS = 3, 10
 FIELD = "<*>"
 _SPACE = r"[\x20\x09-\x0D]+"
+#: Leaves and templates that are broadcast at most; of more, those with over one in HOT_SHARE lines are, and the others are joined by a shuffle.
+BROADCAST_ROWS, HOT_SHARE = 200_000, 1000
 
 
 def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _tokens(line: Column) -> Column:
-    words = F.filter(F.split(line, _SPACE), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-
-
-def marked(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
+def _lines(keyed: DataFrame, depth: int) -> DataFrame:
+    """(row_key, doc_id, line_no, n, t, x, leaf, m): tokens with fields, and hashes of the exact words, the leaf and the tokens."""
+    words = F.filter(F.split(F.col("line"), _SPACE), lambda t: t != "")
+    fields = F.size("t") - F.size(F.array_remove("t", FIELD))
+    rows = (keyed.select("row_key", "doc_id", F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
+            .select("row_key", "doc_id", "line_no", words.alias("w"))
+            .withColumn("t", F.transform("w", lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t)))
+            .select("row_key", "doc_id", "line_no", "t", F.size("t").alias("n"), F.xxhash64("w").alias("x"), (fields * 2 > F.size("t")).alias("loose")))
+    leaf = F.when(F.col("loose"), F.xxhash64(F.lit("exact"), "x")).otherwise(F.xxhash64("n", F.slice("t", 1, depth)))
+    return rows.withColumn("leaf", F.when(F.col("n") > 0, leaf)).withColumn("m", F.when(F.col("loose"), F.col("x")).otherwise(F.xxhash64("t")))
+
+
+def _joined(rows: DataFrame, small: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows join small, which has a row a key and the number of rows it meets as `weight`; no task gets a frequent key whole."""
+    n, total = small.agg(F.count("*"), F.sum(weight)).first()
+    side = small.drop(weight)
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), on)
+    often = F.col(weight) > total // HOT_SHARE
+    hot = F.broadcast(small.filter(often).drop(weight))
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(~often).drop(weight), on))
+
+
+def _templates(keyed: DataFrame, lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
+    """(leaf, m, template, rows): the template of every shape in leaves of enough documents; null if it keeps too few fixed tokens."""
+    shapes = lines.groupBy("leaf", "m", "row_key").agg(F.count("*").alias("rows")).groupBy("leaf", "m").agg(
+        F.count("*").alias("docs"), F.sum("rows").alias("rows"))
+    leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
+    shapes = cut(shapes.join(leaves.select("leaf"), "leaf"))
+    # tokens are read again from the texts, of these shapes only: they are not kept for all lines
+    again = _lines(keyed, depth).filter("n > 0 AND NOT loose").select("leaf", "m", "t")
+    tokens = cut(_joined(again, shapes, ["leaf", "m"], "rows").groupBy("leaf", "m").agg(F.first("docs").alias("docs"), F.first("t").alias("t")))
+    places = tokens.select("leaf", "m", "docs", F.posexplode("t").alias("at", "token")).filter(F.col("token") != FIELD)
+    fixed = places.groupBy("leaf", "at", F.xxhash64("token").alias("token")).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    kept = (places.select("leaf", "m", "at", F.xxhash64("token").alias("token")).join(fixed.drop("docs"), ["leaf", "at", "token"])
+            .groupBy("leaf", "m").agg(F.count("*").alias("n_fixed"), F.xxhash64(F.sort_array(F.collect_list(F.struct("at", "token")))).alias("template")))
+    template = F.when(F.col("n_fixed") * 2 >= F.size("t"), F.col("template"))
+    return tokens.select("leaf", "m", "t").join(kept, ["leaf", "m"], "left").select("leaf", "m", template.alias("template")).join(
+        shapes.select("leaf", "m", "rows"), ["leaf", "m"])
+
+
+def marked(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row_key, flags): for every document that has a line to drop, whether each line is dropped."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    lines = (keyed.select("row_key", "doc_id", F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
-             .select("row_key", "doc_id", "line_no", _tokens(F.col("line")).alias("t"))
-             .select("row_key", "doc_id", "line_no", F.size("t").alias("n"),
-                     F.xxhash64(F.size("t"), F.slice("t", 1, depth)).alias("leaf"), F.xxhash64("t").alias("m")))
-    lines = cut(lines.withColumn("leaf", F.when(F.col("n") > 0, F.col("leaf"))))
-    full = lines.filter("n > 0")
-    shapes = (full.groupBy("leaf", "m", "row_key").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "m")
-              .agg(F.count("*").alias("docs"), F.min(F.struct("row_key", "line_no")).alias("at")))
-    # a template needs min_docs lines in its leaf, and only leaves of several shapes have something to generalise
-    leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("shapes")).filter(F.col("all") >= min_docs)
-    shapes = cut(shapes.join(leaves, "leaf"))
-    several = shapes.filter("shapes > 1").select(F.col("at.row_key").alias("row_key"), F.col("at.line_no").alias("line_no"), "leaf", "m", "docs")
-    texts = (keyed.select("row_key", "text").join(several, "row_key")
-             .select("leaf", "m", "docs", _tokens(F.get(_split(F.col("text")), F.col("line_no"))).alias("t"))
-             .dropDuplicates(["leaf", "m"]))
-    texts = cut(texts)
-    leader = texts.groupBy("leaf").agg(F.min_by(F.struct(F.col("m").alias("lm"), F.col("t").alias("lt")),
-                                                F.struct(-F.col("docs"), F.array_join("t", " "))).alias("l"))
-    equal = F.aggregate(F.zip_with("t", "l.lt", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    joined = (texts.join(leader, "leaf").filter(equal >= similar * F.size("t"))
-              .select("leaf", "m", F.col("l.lm").alias("template")))
-    template = (shapes.select("leaf", "m").join(joined, ["leaf", "m"], "left")
-                .select("leaf", "m", F.coalesce("template", "m").alias("template")))
-    placed = full.join(template, ["leaf", "m"]).select("leaf", "template", "row_key", "doc_id", "line_no")
+    lines = cut(_lines(keyed, depth).select("row_key", "doc_id", "line_no", "leaf", "m", "x"))
+    # nothing recurs in a leaf of fewer lines; most lines of prose leave here
+    often = lines.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") >= min_docs)
+    some = cut(_joined(lines, cut(often), ["leaf"], "rows"))
+    found = cut(_templates(keyed, some, depth, min_docs))
+    # the exact words stand for shapes without a template
+    general = _joined(some, found.filter("template IS NOT NULL"), ["leaf", "m"], "rows").select(
+        F.xxhash64("leaf", "template").alias("template"), "row_key", "doc_id", "line_no")
+    exact = some.join(F.broadcast(found.filter("template IS NOT NULL").select("leaf", "m")) if found.count() <= BROADCAST_ROWS
+                      else found.filter("template IS NOT NULL").select("leaf", "m"), ["leaf", "m"], "left_anti").select(
+        F.xxhash64(F.lit("words"), "x").alias("template"), "row_key", "doc_id", "line_no")
+    placed = cut(general.unionByName(exact))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_key").alias("c"), F.col("line_no").alias("d"))
-    recurring = (placed.groupBy("leaf", "template", "row_key").agg(F.min(order).alias("first")).groupBy("leaf", "template")
-                 .agg(F.count("*").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs))
-    dropped = (placed.join(recurring, ["leaf", "template"])
-               .filter((F.col("row_key") != F.col("first.c")) | (F.col("line_no") != F.col("first.d")))
+    recurring = (placed.groupBy("template", "row_key").agg(F.min(order).alias("first"), F.count("*").alias("rows")).groupBy("template")
+                 .agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("rows").alias("rows")).filter(F.col("docs") >= min_docs))
+    recurring = cut(recurring.select("template", F.col("first.c").alias("first_row"), F.col("first.d").alias("first_line"), "rows"))
+    dropped = (_joined(placed, recurring, ["template"], "rows")
+               .filter((F.col("row_key") != F.col("first_row")) | (F.col("line_no") != F.col("first_line")))
                .select("row_key", "line_no").distinct())
+    dropped = cut(dropped)
     touched = dropped.select("row_key").distinct()
     flags = (lines.select("row_key", "line_no").join(touched, "row_key").join(dropped.withColumn("drop", F.lit(True)), ["row_key", "line_no"], "left")
              .groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("line_no", F.coalesce("drop", F.lit(False)).alias("drop")))).alias("f")))
     return flags.select("row_key", F.col("f.drop").alias("flags"))
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The rows of `docs` with their recurring lines dropped from `text`, and _lines and _dropped, the numbers of lines.
+def dedup(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of `docs` (doc_id, text) with their recurring lines dropped from `text`, and _lines and _dropped, the numbers of lines.
 
     The first line of a recurring template, by doc_id (null last) and line number, stays. Lines end at
-    \\n; blank lines stay as they are. A null text stays null and has no line that counts. Rows that repeat
-    are one document and come out alike; rows that share a doc_id but not the text are several. An empty
-    table gives no rows; other columns are kept, but for _lines and _dropped, which are replaced.
+    \\n; blank lines stay as they are. Lines of numbers and other lines without fixed tokens at half of their places recur
+    only word for word. A variable field whose values each stand in `min_docs` documents counts as fixed. A null text stays
+    null and has no line that counts. Rows that repeat are one document and come out alike; rows that share a doc_id but not
+    the text are several. An empty table gives no rows; other columns are kept whatever their names, but for _lines and
+    _dropped, which are replaced.
     """
-    flags = marked(docs, depth, similar, min_docs)
-    keyed = docs.drop("_lines", "_dropped").withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    flags = flags.select(F.col("row_key").alias("_row_key"), F.col("flags").alias("_flags"))
-    kept = F.filter(_split(F.col("text")), lambda x, i: ~F.get(F.col("_flags"), i))
-    text = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_split(F.col("text")))).cast("long")
-    gone = F.coalesce(F.size(F.filter("_flags", lambda x: x)), F.lit(0)).cast("long")
-    out = keyed.join(flags, "_row_key", "left").select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in keyed.columns if c != "_row_key"], lines.alias("_lines"),
-        F.when(F.col("_flags").isNull(), 0).otherwise(gone).cast("long").alias("_dropped"))
-    return out
+    flags = marked(docs, depth, min_docs)
+    others = [c for c in docs.columns if c not in ("_lines", "_dropped")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("r"), F.xxhash64("doc_id", "text").alias("row_key"))
+    old, f = F.col("r.text"), F.col("flags")
+    kept = F.filter(_split(old), lambda x, i: ~F.get(f, i))
+    text = F.when(f.isNull(), old).otherwise(F.array_join(kept, "\n"))
+    lines = F.when(old.isNull(), 0).otherwise(F.size(_split(old))).cast("long")
+    gone = F.coalesce(F.size(F.filter(f, lambda x: x)), F.lit(0)).cast("long")
+    return rows.join(flags, "row_key", "left").select(
+        *[text.alias("text") if c == "text" else F.col("r").getField(c).alias(c) for c in others], lines.alias("_lines"),
+        F.when(f.isNull(), 0).otherwise(gone).cast("long").alias("_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,16 +125,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = rf"""
 WITH l AS (SELECT doc_id, i line_no, string_split(text, chr(10))[i + 1] line
     FROM documents, LATERAL (SELECT unnest(range(len(string_split(text, chr(10))))) i) WHERE text IS NOT NULL),
-t AS (SELECT *, list_transform(list_filter(string_split_regex(line, '{_SPACE}'), lambda x: x <> ''),
-    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) t FROM l),
-k AS (SELECT doc_id, line_no, len(t) n, t[1:{DEPTH}] head, t FROM t WHERE len(t) > 0),
-s AS (SELECT n, head, t, count(DISTINCT doc_id) docs FROM k GROUP BY n, head, t),
-b AS (SELECT n, head, arg_min(t, (-docs, array_to_string(t, ' '))) lt FROM s GROUP BY n, head),
-m AS (SELECT s.n, s.head, s.t, CASE WHEN len(list_filter(range(1, CAST(s.n AS BIGINT) + 1), lambda i: s.t[i] = b.lt[i])) >= {SIMILAR} * s.n
-    THEN b.lt ELSE s.t END template FROM s JOIN b USING (n, head)),
-p AS (SELECT k.*, template FROM k JOIN m USING (n, head, t)),
-r AS (SELECT n, head, template, min((doc_id, line_no)) f FROM p GROUP BY n, head, template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-d AS (SELECT doc_id, line_no FROM p JOIN r USING (n, head, template) WHERE (doc_id, line_no) <> f)
+w AS (SELECT doc_id, line_no, line, list_filter(string_split_regex(line, '{_SPACE}'), lambda x: x <> '') w FROM l),
+t AS MATERIALIZED (SELECT *, len(w) n, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) t FROM w WHERE len(w) > 0),
+g AS (SELECT *, t[1:{DEPTH}] head FROM t WHERE len(list_filter(t, lambda x: x = '{FIELD}')) * 2 <= n),
+k AS (SELECT n, head, i, token FROM (SELECT DISTINCT n, head, t, doc_id, unnest(range(n)) i, unnest(t) token FROM g) GROUP BY n, head, i, token
+    HAVING count(*) >= {MIN_DOCS} AND token <> '{FIELD}'),
+v AS (SELECT doc_id, line_no, n, head, list((i, token) ORDER BY i) f FROM (SELECT doc_id, line_no, n, head, unnest(range(n)) i, unnest(t) token FROM g)
+    JOIN k USING (n, head, i, token) GROUP BY doc_id, line_no, n, head),
+p AS (SELECT t.doc_id, t.line_no, CASE WHEN len(v.f) * 2 >= t.n THEN CAST((t.n, v.head, v.f) AS VARCHAR) ELSE 'words ' || array_to_string(t.w, ' ') END template
+    FROM t LEFT JOIN v USING (doc_id, line_no)),
+r AS (SELECT template, min((doc_id, line_no)) f FROM p GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+d AS (SELECT doc_id, line_no FROM p JOIN r USING (template) WHERE (doc_id, line_no) <> f)
 SELECT doc_id, CAST(count(line_no) AS BIGINT) n_lines, count(*) FILTER (gone) n_dropped,
   CASE WHEN any_value(txt) IS NULL THEN NULL ELSE sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) END kept_sha256
 FROM (SELECT x.doc_id, x.text txt, l.line_no, l.line, d.doc_id IS NOT NULL gone FROM documents x LEFT JOIN l ON x.doc_id = l.doc_id
