@@ -20,16 +20,19 @@ from .common import read
 from .words import pieces, texts
 
 DIM, GRAM = 1024, 3
-#: Labelled documents that the prototypes are learned from, in expectation; languages at most.
-TRAIN_DOCS, MAX_LANGS = 20_000, 1000
+#: Labelled documents of each language that its prototype is learned from, in expectation; languages at most.
+TRAIN_DOCS, MAX_LANGS = 5_000, 1000
 #: A language's sum holds unit vectors in this fixed-point scale, so that it is the same in any order.
 SCALE = 1 << 20
 #: Text of a piece, cells of a piece's count matrix, n-grams bound at once.
 PIECE, CELLS, BOUND = 1 << 20, 1 << 22, 1 << 13
 
 UNKNOWN = "und"
-#: A text whose best cosine is not above chance is of no learned language.
-MIN_SCORE = 0.02
+#: A text of fewer letters is too short to be told from chance: it needs this cosine only.
+SHORT_LETTERS, MIN_SCORE = 30, 0.02
+#: Any other text needs a larger cosine than all of so many texts of so many random words in its language's letters,
+#: each letter that makes up this share of the language at least.
+CHANCE_TEXTS, CHANCE_WORDS, LETTER_SHARE = 400, 200, 0.001
 
 
 @cache
@@ -114,38 +117,65 @@ def _units(vectors: np.ndarray) -> np.ndarray:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, at, x): the sums of each language's unit vectors, and from DIM on how often each letter occurs."""
     sums: dict[str, np.ndarray] = {}
+    letters: dict[str, np.ndarray] = {}
     for piece in pieces(batches, "text", PIECE):
         scaled = np.rint(_units(profiles(piece.column("text"))) * SCALE).astype(np.int64)
         langs = np.array(piece.column("lang").to_pylist(), object)
+        codes, row = _letters(piece.column("text"))
         for lang in set(langs):
-            sums[lang] = sums.get(lang, 0) + scaled[langs == lang].sum(axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))],
-                                     names=["lang", "vector"])
-
-
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes (unit rows) from docs (doc_id, text, lang).
-
-    Rows with a null text or lang are left out. A hash of the id picks `train_docs` of them in expectation.
+            mine = langs == lang
+            sums[lang] = sums.get(lang, 0) + scaled[mine].sum(axis=0)
+            letters[lang] = letters.get(lang, 0) + np.bincount(codes[mine[row]], minlength=0x110000)
+    for lang in sums:
+        letters[lang][0] = 0
+        used = np.flatnonzero(letters[lang])
+        at, x = np.concatenate([np.arange(DIM), DIM + used]), np.concatenate([sums[lang], letters[lang][used]])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x)], names=["lang", "at", "x"])
+
+
+def chance(prototype: np.ndarray, letters: list[str]) -> float:
+    """The largest cosine of `prototype` with texts of random words in `letters`."""
+    if not letters:
+        return MIN_SCORE
+    rng = np.random.default_rng(len(letters))
+    made = []
+    for _ in range(CHANCE_TEXTS):
+        lengths = rng.integers(2, 10, CHANCE_WORDS)
+        drawn = iter(rng.choice(letters, int(lengths.sum())).tolist())
+        made.append(" ".join("".join(next(drawn) for _ in range(n)) for n in lengths.tolist()))
+    return max(MIN_SCORE, float((_units(profiles(pa.array(made))) @ prototype).max()))
+
+
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, list[list[str]]]:
+    """Languages, their prototypes (unit rows) and their usual letters, from docs (doc_id, text, lang).
+
+    Rows with a null text or lang are left out. A hash of the id picks `train_docs` of each language in
+    expectation, all of a language that has fewer, so every language is learned at any size of the table.
     """
+    spark = docs.sparkSession
     fit = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    share = min(1.0, train_docs / max(1, fit.count()))
-    picked = fit.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
-    langs = picked.select("lang").distinct().limit(MAX_LANGS + 1).collect()
-    if len(langs) > MAX_LANGS:
+    counted = fit.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counted) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    sums = (picked.select("lang", "text").mapInArrow(_sums, "lang string, vector array<long>")
-            .select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).collect())
+    shares = spark.createDataFrame([(r["lang"], int(np.ceil(min(1.0, train_docs / r["n"]) * 1_000_000))) for r in counted], "lang string, upto int")
+    picked = fit.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("upto"))
+    sums = (picked.select("lang", "text").mapInArrow(_sums, "lang string, at int, x long")
+            .groupBy("lang", "at").agg(F.sum("x").alias("x")).collect())
     names = sorted({r["lang"] for r in sums})
-    index, out = {n: i for i, n in enumerate(names)}, np.zeros((len(names), DIM))
+    index, out, letters = {n: i for i, n in enumerate(names)}, np.zeros((len(names), DIM)), [{} for _ in names]
     for r in sums:
-        out[index[r["lang"]], r["at"]] = r["x"]
-    return names, _units(out)
+        if r["at"] < DIM:
+            out[index[r["lang"]], r["at"]] = r["x"]
+        else:
+            letters[index[r["lang"]]][chr(r["at"] - DIM)] = r["x"]
+    usual = [sorted(c for c, n in found.items() if n >= LETTER_SHARE * sum(found.values())) for found in letters]
+    return names, _units(out), usual
 
 
 def _predict(names: list[str], prototypes: np.ndarray, drop: str | None) -> Callable:
-    """Adds the language and the score to the columns but `drop`."""
+    """Adds the language, the score and the number of letters to the columns but `drop`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
             vectors = profiles(piece.column("text"))
@@ -155,8 +185,10 @@ def _predict(names: list[str], prototypes: np.ndarray, drop: str | None) -> Call
             score = np.clip(cosine[np.arange(len(best)), best], 0, 1) * known
             lang = [names[b] if k and names else UNKNOWN for b, k in zip(best, known, strict=True)]
             kept = [c for c in piece.schema.names if c != drop]
-            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*kept, "_lang_pred", "_lang_score"])
+            codes, row = _letters(piece.column("text"))
+            letters = np.bincount(row[codes > 0], minlength=len(vectors))
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters)],
+                                             names=[*kept, "_lang_pred", "_lang_score", "_lang_letters"])
     return run
 
 
@@ -172,19 +204,31 @@ def identify(docs: DataFrame, labelled: DataFrame, train_docs: int = TRAIN_DOCS)
     order wins. Repeated rows and null ids are predicted like any; empty tables give no rows; other
     columns are not looked at.
     """
-    names, prototypes = learn(labelled, train_docs)
+    names, prototypes, _ = learn(labelled, train_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _predict(names, prototypes, "text"), "doc_id long, _lang_pred string, _lang_score double")
-    return rows.withColumnsRenamed({"_lang_pred": "lang_pred", "_lang_score": "score"})
+        _predict(names, prototypes, "text"), "doc_id long, _lang_pred string, _lang_score double, _lang_letters long")
+    return rows.drop("_lang_letters").withColumnsRenamed({"_lang_pred": "lang_pred", "_lang_score": "score"})
 
 
-def accepted(docs: DataFrame, labelled: DataFrame, min_score: float = MIN_SCORE, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of `docs` whose language is told with a score above `min_score`; columns unchanged. 'und' is rejected."""
-    names, prototypes = learn(labelled, train_docs)
-    rows = docs.drop("_lang_pred", "_lang_score")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
-    told = rows.mapInArrow(_predict(names, prototypes, None), schema)
-    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") > min_score)).select(*docs.columns)
+def accepted(docs: DataFrame, labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of `docs` (doc_id, text) that are told to be in a learned language; columns unchanged, whatever their names.
+
+    A text of SHORT_LETTERS letters or more needs a score above that of random letters of the language it is told to be
+    (`chance`), a shorter one MIN_SCORE: so texts in other scripts and letter noise go. Null texts and those without
+    letters are rejected, as are all if no language is learned. Repeated rows stay or go together; null ids and empty
+    tables are no special case.
+    """
+    names, prototypes, letters = learn(labelled, train_docs)
+    level = {n: chance(p, usual) for n, p, usual in zip(names, prototypes, letters, strict=True)}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), "text")
+    schema = T.StructType([rows.schema["r"], T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType()),
+                           T.StructField("_lang_letters", T.LongType())])
+    told = rows.mapInArrow(_predict(names, prototypes, "text"), schema)
+    needed = F.lit(2.0)
+    for name, x in level.items():
+        needed = F.when(F.col("_lang_pred") == name, F.lit(x)).otherwise(needed)
+    needed = F.when(F.col("_lang_letters") < SHORT_LETTERS, F.lit(MIN_SCORE)).otherwise(needed)
+    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") > needed)).select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,11 @@ def test_edge_rows(spark):
     assert found == {1: ("xx", True), 2: ("yy", True), None: ("xx", True), 4: ("und", False), 5: ("und", False)}
     assert language.identify(df, df.filter("false")).select("lang_pred").distinct().collect() == [("und",)]
     assert language.identify(df.filter("false"), df).collect() == []
+
+
+def test_a_rare_language_is_learned_beside_a_large_one(spark):
+    """The sample has a rate of its own for each language."""
+    rows = [(i, "the cat and the dog and the house", "xx") for i in range(400)] + [(1000 + i, "le chat et les chiens dans la maison", "yy") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(df, df, train_docs=5).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in found} == {"xx": 400, "yy": 3}

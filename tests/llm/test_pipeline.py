@@ -61,16 +61,35 @@ def test_all_but_the_last_keep_the_columns(stages):
 
 
 def test_language_stage(stages):
-    rows, sums = stages[0].collect(), {}
+    rows, sums, letters = stages[0].collect(), {}, {}
     unit = {r.doc_id: v / (np.linalg.norm(v) or 1) for r in rows for v in [slow_profile(r.text)]}
     for r in rows:
         if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
             sums[r.lang] = sums.get(r.lang, 0) + np.rint(unit[r.doc_id] * language.SCALE)
-    best = {d: max(v @ p / np.linalg.norm(p) for p in sums.values()) for d, v in unit.items()}
-    assert ids(stages[1]) == {d for d, s in best.items() if s > language.MIN_SCORE}
+            letters.setdefault(r.lang, Counter()).update(c for c in r.text.lower() if c.isalpha())
+    learned = {lang: p / np.linalg.norm(p) for lang, p in sums.items()}
+    usual = {lang: sorted(c for c, n in found.items() if n >= language.LETTER_SHARE * sum(found.values())) for lang, found in letters.items()}
+    needed = {lang: language.chance(p, usual[lang]) for lang, p in learned.items()}
+    expected = set()
+    for r in rows:
+        score, lang = max((unit[r.doc_id] @ p, lang) for lang, p in learned.items())
+        if score > (needed[lang] if sum(c.isalpha() for c in r.text or "") >= language.SHORT_LETTERS else language.MIN_SCORE):
+            expected.add(r.doc_id)
+    assert ids(stages[1]) == expected and len(expected) >= 0.95 * len(rows)
     assert {r.doc_id for r in rows if not re.search(r"[^\W\d_]", r.text or "")}.isdisjoint(ids(stages[1]))
 
 
+def test_language_stage_rejects_noise_and_foreign_scripts(spark, stages):
+    rng = np.random.default_rng(6)
+    made = [" ".join("".join(rng.choice(list(letters), n)) for n in rng.integers(2, 10, 200)) for letters in
+            ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω") for _ in range(100)]
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "web", len(t)) for i, t in enumerate(made)], stages[0].schema)
+    left = ids(STAGE["language_id"](spark, stages[0].unionByName(more), SF))
+    assert not any(d >= 10_000_000 for d in left)
+    clean = {r.doc_id for r in stages[0].collect() if len(r.text or "") > 60 and re.search(r"[a-z]{2}", r.text) and len(set(r.text.split())) > 10}
+    assert clean <= left
+
+
 def test_line_stage(stages):
     found, names = sql(stages[1], lines.SQL)
     expected = {r[names.index("doc_id")]: r[names.index("kept_sha256")] for r in found}
