@@ -246,9 +246,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without near-duplicates: one row of each group, that of the smallest id; columns unchanged.
+    """The rows of `docs` (doc_id, text) without near-duplicates: one row of each group, that of the smallest id; columns unchanged, whatever their names.
 
-    Of rows equal in id and text one stays; of rows that share the kept id, the one with the smallest row_key.
+    Of rows equal in id and text one stays; of rows that share the kept id, the one with the smallest row_key. Null and blank
+    texts are in no group and all stay; an empty table gives no rows.
     """
     found = cut(groups(docs, k, percent))
     twice = found.filter("kept AND n_shingles > 0 AND component_id IS NOT NULL").groupBy("component_id").agg(
@@ -258,11 +259,11 @@ def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if repeated:
         extra = found.filter("kept").join(twice.select("component_id", F.col("row_key").alias("first")), "component_id").filter("row_key <> first")
         dropped = dropped.unionByName(extra.select("row_key"))
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    left = keyed.join(dropped.select(F.col("row_key").alias("_dropped")).distinct(), F.col("_row_key") == F.col("_dropped"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.xxhash64("doc_id", "text").alias("row_key"))
+    left = rows.join(dropped.select(F.col("row_key").alias("k")).distinct(), F.col("row_key") == F.col("k"), "left_anti")
     if repeated:
-        left = left.dropDuplicates(["_row_key"])
-    return left.drop("_row_key")
+        left = left.dropDuplicates(["row_key"])
+    return left.select("r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

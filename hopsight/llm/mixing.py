@@ -91,11 +91,12 @@ def sized(docs: DataFrame) -> DataFrame:
                        row_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
 
-def _with_copies(df: DataFrame, source: Column, h: Column, found: DataFrame) -> DataFrame:
-    found = found.select(*[F.col(c).alias(f"_mix_{c}") for c in found.columns])
-    found = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found
-    return df.join(found, source.eqNullSafe(F.col("_mix_source"))).withColumn(
-        "_mix_taken", F.col("_mix_copies") + F.when(h < F.col("_mix_threshold"), 1).otherwise(0))
+def _with_copies(df: DataFrame, found: DataFrame) -> DataFrame:
+    """`df` (source, h, and what it is to keep) with the columns of its source's row of `found`, and `copies`, the times it is taken."""
+    side = found.select(F.col("source").alias("of"), *[c for c in found.columns if c != "source"]).withColumnRenamed("copies", "whole")
+    side = F.broadcast(side) if found.count() <= BROADCAST_SOURCES else side
+    return df.join(side, F.col("source").eqNullSafe(F.col("of"))).withColumn(
+        "copies", F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -105,18 +106,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3) ->
     hash and are taken together; an empty table gives no rows; other columns are not looked at.
     """
     rows = cut(sized(docs))
-    return (_with_copies(rows, F.col("source"), F.col("h"), thresholds(rows, weights, most))
-            .select("doc_id", "source", "size", F.col("_mix_source_size").alias("source_size"),
-                    F.col("_mix_target").alias("target"), F.col("_mix_taken").alias("copies"),
-                    (F.col("_mix_taken") * F.col("size")).alias("taken")))
+    return _with_copies(rows, thresholds(rows, weights, most)).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The rows of `docs` that the mix takes, with `copies`, the times it takes them; thresholds as in `mix`."""
+    """The rows of `docs` (doc_id, text, source) that the mix takes, with `copies`, the times it takes them; thresholds as in `mix`.
+
+    Other columns stay whatever their names, but for `copies`, which is replaced. Rows without words are not taken; rows
+    equal in id and text are taken alike; a null source is a source of its own; an empty table gives no rows.
+    """
     found = thresholds(cut(sized(docs)), weights, most)
-    columns = [c for c in docs.columns if c != "copies"]
-    return (_with_copies(docs, F.col("source"), row_hash(F.col("doc_id"), F.col("text")), found)
-            .filter("_mix_taken > 0").select(*columns, F.col("_mix_taken").alias("copies")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"]).alias("r"), "source",
+                       row_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    return _with_copies(rows, found).filter("copies > 0").select("r.*", "copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

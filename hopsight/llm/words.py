@@ -29,13 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _BASE)
-_BYTE[_SPACE] = 0
+_ODD = _U(0xD1B54A32D192ED03)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, _U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def _places(n: int) -> np.ndarray:
+    return mix(np.arange(n, dtype=_U) * _BASE + _ODD)
 
 
 def _block(data: np.ndarray, begins: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +51,11 @@ def _block(data: np.ndarray, begins: np.ndarray, lower: bool) -> tuple[np.ndarra
     rest = data[starts[0]:]
     run = np.diff(starts, append=len(data))
     place = np.arange(len(rest)) - np.repeat(starts - starts[0], run)
-    values = _BYTE[rest] * _powers(int(run.max()))[place]
+    # each byte is mixed with its place before the sum: in a polynomial modulo 2 ^ 64 long regular words would meet
+    values = _BYTE[rest] ^ _places(int(run.max()))[place]
+    values *= _ODD
+    values ^= values >> _U(32)
+    values *= solid[starts[0]:]
     return mix(np.add.reduceat(values, starts - starts[0])), starts
 
 
