@@ -24,13 +24,19 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, _SPACE), lambda t: t != "")
+
+
+def _tokens(words: Column) -> Column:
+    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
 def _lines(keyed: DataFrame, depth: int) -> DataFrame:
-    """(row_key, doc_id, line_no, n, t, x, leaf, m): tokens with fields, and hashes of the exact words, the leaf and the tokens."""
-    words = F.filter(F.split(F.col("line"), _SPACE), lambda t: t != "")
+    """(row_key, doc_id, line_no, n, x, leaf, m): hashes of the exact words, the leaf and the tokens."""
     fields = F.size("t") - F.size(F.array_remove("t", FIELD))
     rows = (keyed.select("row_key", "doc_id", F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
-            .select("row_key", "doc_id", "line_no", words.alias("w"))
-            .withColumn("t", F.transform("w", lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t)))
+            .select("row_key", "doc_id", "line_no", _words(F.col("line")).alias("w")).withColumn("t", _tokens(F.col("w")))
             .select("row_key", "doc_id", "line_no", "t", F.size("t").alias("n"), F.xxhash64("w").alias("x"), (fields * 2 > F.size("t")).alias("loose")))
     leaf = F.when(F.col("loose"), F.xxhash64(F.lit("exact"), "x")).otherwise(F.xxhash64("n", F.slice("t", 1, depth)))
     return rows.withColumn("leaf", F.when(F.col("n") > 0, leaf)).withColumn("m", F.when(F.col("loose"), F.col("x")).otherwise(F.xxhash64("t")))
@@ -47,15 +53,18 @@ def _joined(rows: DataFrame, small: DataFrame, on: list[str], weight: str) -> Da
     return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(~often).drop(weight), on))
 
 
-def _templates(keyed: DataFrame, lines: DataFrame, depth: int, min_docs: int) -> DataFrame:
+def _templates(keyed: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, m, template, rows): the template of every shape in leaves of enough documents; null if it keeps too few fixed tokens."""
-    shapes = lines.groupBy("leaf", "m", "row_key").agg(F.count("*").alias("rows")).groupBy("leaf", "m").agg(
-        F.count("*").alias("docs"), F.sum("rows").alias("rows"))
+    shapes = lines.groupBy("leaf", "m", "row_key").agg(F.count("*").alias("rows"), F.min("line_no").alias("line_no")).groupBy("leaf", "m").agg(
+        F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.min(F.struct("row_key", "line_no")).alias("at"))
     leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("all")).filter(F.col("all") >= min_docs)
     shapes = cut(shapes.join(leaves.select("leaf"), "leaf"))
-    # tokens are read again from the texts, of these shapes only: they are not kept for all lines
-    again = _lines(keyed, depth).filter("n > 0 AND NOT loose").select("leaf", "m", "t")
-    tokens = cut(_joined(again, shapes, ["leaf", "m"], "rows").groupBy("leaf", "m").agg(F.first("docs").alias("docs"), F.first("t").alias("t")))
+    # tokens are not kept for all lines: those of a shape are read again from one of its documents
+    at = shapes.select(F.col("at.row_key").alias("row_key"), F.col("at.line_no").alias("line_no"), "leaf", "m", "docs")
+    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
+    line = F.get(_split(F.col("text")), F.col("line_no"))
+    tokens = cut(keyed.select("row_key", "text").join(at, "row_key").select("leaf", "m", "docs", line.alias("line"))
+                 .dropDuplicates(["leaf", "m"]).select("leaf", "m", "docs", _tokens(_words(F.col("line"))).alias("t")))
     places = tokens.select("leaf", "m", "docs", F.posexplode("t").alias("at", "token")).filter(F.col("token") != FIELD)
     fixed = places.groupBy("leaf", "at", F.xxhash64("token").alias("token")).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     kept = (places.select("leaf", "m", "at", F.xxhash64("token").alias("token")).join(fixed.drop("docs"), ["leaf", "at", "token"])
@@ -72,7 +81,7 @@ def marked(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> Dat
     # nothing recurs in a leaf of fewer lines; most lines of prose leave here
     often = lines.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") >= min_docs)
     some = cut(_joined(lines, cut(often), ["leaf"], "rows"))
-    found = cut(_templates(keyed, some, depth, min_docs))
+    found = cut(_templates(keyed, some, min_docs))
     # the exact words stand for shapes without a template
     general = _joined(some, found.filter("template IS NOT NULL"), ["leaf", "m"], "rows").select(
         F.xxhash64("leaf", "template").alias("template"), "row_key", "doc_id", "line_no")
