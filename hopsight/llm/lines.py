@@ -28,18 +28,22 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(line, _SPACE), lambda t: t != "")
 
 
-def _tokens(words: Column) -> Column:
-    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+def _tokens(line: Column) -> Column:
+    """The words of a line, those with a digit as FIELD; most lines have none and are not looked through word by word."""
+    masked = F.transform(_words(line), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(_words(line))
 
 
 def _lines(keyed: DataFrame, depth: int) -> DataFrame:
-    """(row_key, doc_id, line_no, n, x, leaf, m): hashes of the exact words, the leaf and the tokens."""
-    fields = F.size("t") - F.size(F.array_remove("t", FIELD))
+    """(row_key, doc_id, line_no, leaf, m, x): hashes of the leaf, the tokens and the exact words."""
+    line, fields = F.col("line"), F.size("t") - F.size(F.array_remove("t", FIELD))
     rows = (keyed.select("row_key", "doc_id", F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
-            .select("row_key", "doc_id", "line_no", _words(F.col("line")).alias("w")).withColumn("t", _tokens(F.col("w")))
-            .select("row_key", "doc_id", "line_no", "t", F.size("t").alias("n"), F.xxhash64("w").alias("x"), (fields * 2 > F.size("t")).alias("loose")))
-    leaf = F.when(F.col("loose"), F.xxhash64(F.lit("exact"), "x")).otherwise(F.xxhash64("n", F.slice("t", 1, depth)))
-    return rows.withColumn("leaf", F.when(F.col("n") > 0, leaf)).withColumn("m", F.when(F.col("loose"), F.col("x")).otherwise(F.xxhash64("t")))
+            .select("row_key", "doc_id", "line_no", "line", _tokens(line).alias("t"))
+            .select("row_key", "doc_id", "line_no", "t", F.size("t").alias("n"), F.xxhash64("t").alias("h"),
+                    F.when(line.rlike("[0-9]"), F.struct(F.xxhash64(_words(line)).alias("x"), (fields * 2 > F.size("t")).alias("loose"))).alias("f")))
+    loose, x = F.coalesce(F.col("f.loose"), F.lit(False)), F.coalesce("f.x", "h")
+    leaf = F.when(loose, F.xxhash64(F.lit("exact"), x)).otherwise(F.xxhash64("n", F.slice("t", 1, depth)))
+    return rows.select("row_key", "doc_id", "line_no", F.when(F.col("n") > 0, leaf).alias("leaf"), F.when(loose, x).otherwise(F.col("h")).alias("m"), x.alias("x"))
 
 
 def _joined(rows: DataFrame, small: DataFrame, on: list[str], weight: str) -> DataFrame:
@@ -64,7 +68,7 @@ def _templates(keyed: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
     line = F.get(_split(F.col("text")), F.col("line_no"))
     tokens = cut(keyed.select("row_key", "text").join(at, "row_key").select("leaf", "m", "docs", line.alias("line"))
-                 .dropDuplicates(["leaf", "m"]).select("leaf", "m", "docs", _tokens(_words(F.col("line"))).alias("t")))
+                 .dropDuplicates(["leaf", "m"]).select("leaf", "m", "docs", _tokens(F.col("line")).alias("t")))
     places = tokens.select("leaf", "m", "docs", F.posexplode("t").alias("at", "token")).filter(F.col("token") != FIELD)
     fixed = places.groupBy("leaf", "at", F.xxhash64("token").alias("token")).agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
     kept = (places.select("leaf", "m", "at", F.xxhash64("token").alias("token")).join(fixed.drop("docs"), ["leaf", "at", "token"])
