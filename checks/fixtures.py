@@ -18,6 +18,10 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantit
               "l_tax", "l_returnflag", "l_linestatus"]
 
 
+#: Stands for an output that is given as null, which `to_json` would leave out.
+NULL_MARK = "(given as null)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -174,7 +178,7 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pos == 0, "PRE_PROCESSING").when(pos == F.col("last"), "POST_PROCESSING")
         .otherwise(_pick(EVENT_TYPES, (conv + pos) % 6)).alias("eventType"),
         F.when(pos == 0, "User").otherwise(target(pos - 1)).alias("sourceNode"), target(pos).alias("targetNode"),
-        F.col("text").alias("inputText"), F.when(pos % 4 == 3, F.concat("text", F.lit(" ."))).alias("outputText"),
+        F.col("text").alias("inputText"), F.when(pos % 8 == 5, NULL_MARK).when(pos % 4 == 3, F.concat("text", F.lit(" ."))).alias("outputText"),
         F.when(conv % 7 == 0, "high").when(conv % 7 == 1, "").alias("riskTag"), F.lit("model-a").alias("modelId"),
         (pos + 50).cast("double").alias("latencyMs"),
         F.when(pos % 2 == 0, (pos % 3 + 1).cast("double")).alias("usageUnits"),
@@ -182,10 +186,11 @@ def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v != 7, checked).alias("guardrailTrace"))
     grouped = (c.select(conv, F.struct(pos.alias("pos"), event.alias("event")).alias("x"))
                .groupBy("conv_id").agg(F.array_sort(F.collect_list("x"), lambda a, b: b.pos - a.pos).alias("events")))
-    return grouped.select(F.to_json(F.struct(
+    text = F.to_json(F.struct(
         F.concat(F.lit("bot"), (conv % 5).cast("string")).alias("agentId"),
         F.concat(F.lit("sess_"), conv.cast("string")).alias("sessionId"),
-        F.transform("events", lambda x: x.event).alias("traceEvents"))).alias("json"))
+        F.transform("events", lambda x: x.event).alias("traceEvents")))
+    return grouped.select(F.replace(text, F.lit(f'"outputText":"{NULL_MARK}"'), F.lit('"outputText":null')).alias("json"))
 
 
 def session_trace(spark: SparkSession, sf_dir: str) -> DataFrame:

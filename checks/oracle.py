@@ -90,7 +90,7 @@ cv AS (SELECT *, (conv_id * 3 + pos) % 8 v,
          CASE WHEN pos = 0 THEN 'PRE_PROCESSING' WHEN pos = last THEN 'POST_PROCESSING'
               ELSE {_list(EVENT_TYPES)}[(conv_id + pos) % 6 + 1] END et,
          CASE WHEN pos = 0 THEN 'User' ELSE {_session_target('(pos - 1)')} END src, {_session_target('pos')} tgt,
-         CASE WHEN pos % 4 = 3 THEN text || ' .' ELSE text END out_text FROM cp),
+         CASE WHEN pos % 8 = 5 THEN '' WHEN pos % 4 = 3 THEN text || ' .' ELSE text END out_text FROM cp),
 eb(et, bnd) AS (VALUES {EVENT_BOUNDARIES}),
 vc(v, i, ct, res, conf, sev) AS (VALUES
   (0, 0, 'PROMPT_ATTACK_CHECK', 'PASS', 0.4, 'LOW'), (0, 1, 'PII_CHECK', 'PASS', 0.05, 'NONE'),

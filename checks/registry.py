@@ -15,7 +15,8 @@ from hopsight import Analysis
 from hopsight.operators import graph, paths, plan as plan_ops
 from hopsight.plans import audit, metrics as metric_ops, serving
 from hopsight.policy import REUSE, REVIEW, SKIP
-from hopsight.schema import TRACE
+from hopsight.schema import TRACE, contract_report
+from hopsight.sources.records import REASON, json_texts
 
 _TRACES = {"orders": fixtures.order_trace, "events": fixtures.event_trace, "sessions": fixtures.session_trace}
 _SQL_TRACES = {"orders": o.ORDERS, "events": o.EVENTS, "sessions": o.SESSIONS}
@@ -270,6 +271,47 @@ _add("run_summary", "orders", lambda a: a.summary().select(
      "pt_.kept optimized_guardrail_calls, (SELECT count(DISTINCT workflow_id) FROM features) workflows_analyzed, "
      "pt_.review human_review_count FROM tt, pt_")
 
+# One workflow, one scenario, the contracts
+_add("workflow_detail", "orders", lambda a: serving.one_workflow(a.plan, serving.riskiest(a.features, 1).first().workflow_id),
+     _PLAN + o.FEATURES, _PLAN_SELECT + " WHERE workflow_id = (SELECT workflow_id FROM features "
+     "ORDER BY graph_risk_score DESC, workflow_id, request_id LIMIT 1)")
+_COUNTED = ("count(*) \"rows\", count(*) FILTER (workflow_id IS NULL OR request_id IS NULL) without_key, count(*) FILTER (step_id IS NULL) "
+            "without_step_id, count(*) FILTER (guardrail_type IS NULL) without_guardrail_type, count(*) FILTER (trust_boundary IS NULL) without_trust_boundary")
+_add("contract_report", "orders", lambda a: contract_report({"trace": a.trace, "plan": a.plan, "redundant": a.redundant.withColumn(
+        "step_id", F.col("duplicate_step_id")).select("workflow_id", "request_id", "step_id", "guardrail_type")}),
+     _PLAN + ", " + o.REDUNDANT[len(o.WALKED):].lstrip(",\n "),
+     f"SELECT 'trace' \"table\", {_COUNTED} FROM trace UNION ALL SELECT 'plan', {_COUNTED} FROM plan UNION ALL SELECT 'redundant', "
+     + _COUNTED.replace("step_id IS NULL", "duplicate_step_id IS NULL").replace(
+         "count(*) FILTER (trust_boundary IS NULL) without_trust_boundary", "CAST(NULL AS BIGINT)") + " FROM redundant")
+
+
+def _scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of one scenario's workflows; a run of its own."""
+    trace = analysis(spark, sf_dir, "orders").trace
+    return flat(Analysis(trace, scenario="t1").plan)
+
+
+_ENTRIES["scenario_run"] = (_scenario, o.query(
+    o.ORDERS.replace("trace AS MATERIALIZED (", "all_trace AS MATERIALIZED (") + ", trace AS MATERIALIZED (SELECT * FROM all_trace WHERE workflow_template = 't1')",
+    _PLAN, _PLAN_SELECT))
+
+
+def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order trace as JSON lines with cells that don't fit, by rule: how many records are accepted or rejected, and why."""
+    t = analysis(spark, sf_dir, "orders").trace
+    step, text = F.col("step_id"), F.to_json(F.struct(*[F.col(c) for c in TRACE.fieldNames()]))
+    bad = (F.when(step % 7 == 3, F.regexp_replace(text, r'"step_id":\d+', '"step_id":"third"'))
+           .when(step % 7 == 4, F.regexp_replace(F.regexp_replace(text, r'"latency_ms":[\d.]+', '"latency_ms":"slow"'),
+                                                 r'"text_changed":\w+', '"text_changed":"perhaps"'))
+           .when(step % 7 == 5, F.substring(text, 1, 60)).otherwise(text))
+    judged = json_texts(t.select(bad.alias("line")), "line", F.lit("orders")).judged
+    return judged.groupBy(F.coalesce(REASON, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("records"), F.sum("step_id").alias("steps"))
+
+
+_ENTRIES["rejected_records"] = (_rejects, o.query(o.ORDERS, "", """SELECT CASE step_id % 7 WHEN 3 THEN 'step_id is no int'
+    WHEN 4 THEN 'text_changed is no boolean; latency_ms is no decimal(18,6)' WHEN 5 THEN 'malformed JSON' ELSE 'accepted' END reason, count(*) records,
+    CAST(CASE WHEN reason IN ('step_id is no int', 'malformed JSON') THEN NULL ELSE sum(step_id) END AS BIGINT) steps FROM trace GROUP BY reason, step_id % 7 IN (3, 4, 5)"""))
+
 # Audits
 _add("plan_invariants", "orders", lambda a: audit.plan_invariants(a.plan), _PLAN, _INVARIANT_SELECT)
 _add("plan_invariants_events", "events", lambda a: audit.plan_invariants(a.plan), _PLAN, _INVARIANT_SELECT)

@@ -147,7 +147,7 @@ def build(edges: DataFrame, hold: Callable[..., DataFrame], wide_edges: int = WI
         keys = keys.unionByName(wide_info)
         shape_edges = shape_edges.unionByName(wide_shape_edges)
         shape_nodes = shape_nodes.unionByName(wide_shape_nodes)
-    paths = _enumerate(shape_edges, shape_nodes, max_hops)
+    paths = _enumerate(shape_edges, shape_nodes, max_hops, contract=many is not None and max_hops is None)
     routes = paths.groupBy("topology_id").agg(
         F.count("*").alias("path_count"), F.max(F.size("edge_ords")).alias("max_path_length"), F.sum(F.size("edge_ords")).alias("edges"))
     path_edges, most_paths = (x or 0 for x in routes.agg(F.sum("edges"), F.max("path_count")).first())
@@ -248,7 +248,49 @@ def _many(edges: DataFrame):
     return info, ordered, shape_edges, nodes
 
 
-def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None) -> DataFrame:
+def _contracted(hops: DataFrame) -> DataFrame:
+    """`hops` with each chain of nodes that have one way in, one way out and are no end, as one hop.
+
+    Every node of a chain finds the edge that leads into the chain, and its distance from there, by pointer doubling: the
+    rounds are the logarithm of the longest chain. Nodes that find none lie on a cycle without a way in, which no walk reaches.
+    """
+    topo = ["topology_id"]
+    ways_in = hops.groupBy(*topo, F.col("tgt").alias("label")).agg(
+        F.count("*").alias("n_in"), F.min("node").alias("before"), F.min("edge_ord").alias("edge_in"), F.max("end_kind").alias("end"))
+    ways_out = hops.groupBy(*topo, F.col("node").alias("label")).agg(F.count("*").alias("n_out"))
+    inner = (ways_in.join(ways_out, [*topo, "label"]).filter("n_in = 1 AND n_out = 1 AND end IS NULL")
+             .select(*topo, "label", "before", "edge_in").checkpoint())
+    n, longest = inner.groupBy(*topo).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+
+    def side(df: DataFrame) -> DataFrame:
+        """A table of no more rows than there are inner nodes."""
+        return F.broadcast(df) if n <= session.BROADCAST_ROWS else df
+    of = side(inner.select(*topo, F.col("label").alias("before"), F.lit(True).alias("inside")))
+    at = inner.join(of, [*topo, "before"], "left").select(
+        *topo, "label", F.when(F.col("inside"), F.col("before")).alias("pointer"),
+        F.when(F.col("inside").isNull(), F.col("edge_in")).alias("head"), F.when(F.col("inside"), 1).otherwise(0).alias("away")).checkpoint()
+    for turn in range(longest.bit_length()):
+        there = at.select(*topo, F.col("label").alias("pointer"), F.col("pointer").alias("next"), F.col("head").alias("found"), F.col("away").alias("more"))
+        at = at.join(side(there), [*topo, "pointer"], "left").select(
+            *topo, "label", F.col("next").alias("pointer"), F.coalesce("head", "found").alias("head"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away"))
+        if turn % 2 or turn == longest.bit_length() - 1:
+            at = at.checkpoint()
+    inside = at.filter("head IS NOT NULL").select(*topo, F.col("label").alias("node"), "head", "away")
+    onward = F.struct("tgt", "node_ord", "goes_on", "end_kind")
+    chains = (hops.join(side(inside), [*topo, "node"]).groupBy(*topo, F.col("head").alias("edge_ord")).agg(
+        F.array_sort(F.collect_list(F.struct("away", "node", F.col("edge_ord").alias("out")))).alias("c"), F.max_by(onward, "away").alias("w")))
+    own = inner.select(*topo, F.col("label").alias("node"))
+    outer = hops.join(side(own), [*topo, "node"], "left_anti")
+    entries = outer.select(*topo, F.col("node").alias("first"), "edge_ord")
+    long = (entries.join(side(chains), [*topo, "edge_ord"])
+            .select(*topo, F.col("first").alias("node"), F.concat(F.transform("c", lambda x: x.node), F.array("w.tgt")).alias("labels"),
+                    F.concat(F.array("edge_ord"), F.transform("c", lambda x: x.out)).alias("edge_ords"), "w.*"))
+    plain = (outer.join(side(own.withColumnRenamed("node", "tgt")), [*topo, "tgt"], "left_anti")
+             .select(*topo, "node", F.array("tgt").alias("labels"), F.array("edge_ord").alias("edge_ords"), "tgt", "node_ord", "goes_on", "end_kind"))
+    return plain.unionByName(long.select(*plain.columns)).checkpoint()
+
+
+def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None, contract: bool = False) -> DataFrame:
     start = (nodes.filter("kind = 'user'").groupBy("topology_id")
              .agg(F.min_by("label", "node_ord").alias("start")))
     with_out = edges.select("topology_id", F.col("src").alias("label"), F.lit(True).alias("goes_on")).distinct()
@@ -259,6 +301,11 @@ def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None) -> Data
     hops = (edges.filter("src <> tgt").join(ends, ["topology_id", "tgt"])
             .select("topology_id", F.col("src").alias("node"), "tgt", "edge_ord", "node_ord", "goes_on", "end_kind")
             .checkpoint())
+    if contract:
+        hops = _contracted(hops)
+    else:
+        hops = hops.select("topology_id", "node", F.array("tgt").alias("labels"), F.array("edge_ord").alias("edge_ords"), "tgt", "node_ord", "goes_on", "end_kind")
+    hops = hops.withColumnsRenamed({"labels": "hop_labels", "edge_ords": "hop_edges"})
     few = is_small(hops)
     walks = start.select("topology_id", F.col("start").alias("node"), F.array("start").alias("labels"),
                          F.array().cast("array<int>").alias("edge_ords"))
@@ -268,8 +315,8 @@ def _enumerate(edges: DataFrame, nodes: DataFrame, max_hops: int | None) -> Data
     while True:
         step = (walks.join(hops, ["topology_id", "node"])
                 .filter(~F.array_contains("labels", F.col("tgt")))
-                .select("topology_id", F.col("tgt").alias("node"), F.array_append("labels", F.col("tgt")).alias("labels"),
-                        F.array_append("edge_ords", F.col("edge_ord")).alias("edge_ords"),
+                .select("topology_id", F.col("tgt").alias("node"), F.concat("labels", "hop_labels").alias("labels"),
+                        F.concat("edge_ords", "hop_edges").alias("edge_ords"),
                         "end_kind", F.col("node_ord").alias("end_ord"), "goes_on")
                 .checkpoint())
         rows = step.count()

@@ -84,7 +84,9 @@ def _plan_sums(policy: dict) -> list[Column]:
         n(real & (reason == "text_changed_since_previous_check"), "text_mutation_blocks"),
         n(real & reason.rlike("previous_result_(?:WARN|BLOCK)"), "warn_block_escalations"),
         n(decision == REVIEW, "human_review_count"),
-        n(F.col("audit_required"), "audit_required_count")]
+        n(F.col("audit_required"), "audit_required_count"),
+        n(real & ((decision == KEEP) | (protected & (decision == REVIEW))), "checks_preserved"),
+        n(real & (decision == REVIEW), "checks_reviewed")]
 
 
 def _percent(part: Column, whole: Column, default: float) -> Column:
@@ -118,8 +120,24 @@ def _derived(df: DataFrame) -> DataFrame:
         "cost_saved_percent": _percent(F.col("_cost"), F.col("original_cost"), 0.0)})
 
 
-def metrics(trace: DataFrame, plan: DataFrame, features: DataFrame, policy: dict) -> DataFrame:
-    """One row with the structs `overall`, `graph` and `safety`."""
+def ledger(trace: DataFrame, plan: DataFrame, policy: dict) -> DataFrame:
+    """Sums and counts per workflow and boundary, from one scan of the trace and one of the plan.
+
+    Metrics, scenarios and the boundary matrix are sums over its rows; it is far smaller than either.
+    """
+    key = ["workflow_id", "trust_boundary"]
+    shown = F.struct("timestamp", "request_id", "step_id", "workflow_template")
+    ran = trace.groupBy(*key).agg(*_trace_sums(policy), F.min(F.when(F.col("workflow_template").isNotNull(), shown)).alias("shown"))
+    return ran.unionByName(with_savings(plan, policy).groupBy(*key).agg(*_plan_sums(policy)), allowMissingColumns=True)
+
+
+def _totals(rows: DataFrame) -> list[Column]:
+    """Sums of the ledger's figures, zero without rows."""
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c not in ("workflow_id", "trust_boundary", "shown")]
+
+
+def metrics(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """One row with the structs `overall`, `graph` and `safety`, from the ledger and the features."""
     def mean(column: str, name: str) -> Column:
         return F.round(F.avg(column), 2).alias(name)
 
@@ -129,9 +147,7 @@ def metrics(trace: DataFrame, plan: DataFrame, features: DataFrame, policy: dict
         mean("max_path_length", "average_path_length"),
         F.count_if(F.col("redundant_internal_checks") > 0).alias("workflows_with_redundant_paths"),
         mean("graph_risk_score", "graph_risk_score_average"))
-    parts = (trace.agg(*_trace_sums(policy))
-             .unionByName(with_savings(plan, policy).agg(*_plan_sums(policy)), allowMissingColumns=True)
-             .unionByName(graph, allowMissingColumns=True))
+    parts = rows.agg(*_totals(rows)).unionByName(graph, allowMissingColumns=True)
     row = _derived(parts.agg(*[F.max(c).alias(c) for c in parts.columns]))
     row = row.withColumn("false_skip_rate_simulated", F.round(
         100 * F.col("false_skips").cast("double") / F.greatest(F.lit(1), "real_rows"), 4))
@@ -163,44 +179,29 @@ def boundary_gates(matrix: DataFrame, policy: dict) -> DataFrame:
         (F.col("preserved_checks") >= F.col("original_checks")).alias("passes"))
 
 
-def scenario_metrics(trace: DataFrame, plan: DataFrame, policy: dict) -> DataFrame:
+def scenario_metrics(rows: DataFrame) -> DataFrame:
     """The headline metrics per scenario, where a workflow's scenario is its first template, or null if it has none."""
-    shown = F.struct("timestamp", "request_id", "step_id", "workflow_template")
-    per_workflow = trace.groupBy("workflow_id").agg(
-        F.min(F.when(F.col("workflow_template").isNotNull(), shown)).alias("shown"), *_trace_sums(policy))
-    planned = with_savings(plan, policy).groupBy("workflow_id").agg(*_plan_sums(policy))
-    joined = (per_workflow.withColumn("scenario", F.col("shown.workflow_template"))
-              .join(planned, "workflow_id", "left"))
-    summed = ["original_guardrail_calls", "optimized_guardrail_calls", "original_latency", "optimized_latency",
-              "original_cost", "optimized_cost", "boundary_checks_original", "boundary_checks_preserved",
-              "high_risk_checks_original", "high_risk_checks_preserved"]
-    rows = joined.groupBy("scenario").agg(
-        F.count("*").alias("workflow_count"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed])
-    return _derived(rows).select(
+    sums = _totals(rows)
+    per_workflow = rows.groupBy("workflow_id").agg(F.min("shown").alias("shown"), *sums)
+    found = (per_workflow.withColumn("scenario", F.col("shown.workflow_template"))
+             .groupBy("scenario").agg(F.count("*").alias("workflow_count"), *sums))
+    return _derived(found).select(
         "scenario", "workflow_count", "original_guardrail_calls", "optimized_guardrail_calls",
         F.col("guardrail_call_reduction_percent").alias("call_reduction_percent"), "latency_saved_percent",
         "cost_saved_percent", F.col("boundary_coverage_preserved_percent").alias("boundary_coverage_percent"),
         "high_risk_preservation_percent").orderBy("scenario")
 
 
-def boundary_matrix(trace: DataFrame, plan: DataFrame, policy: dict) -> DataFrame:
+def boundary_matrix(rows: DataFrame, policy: dict) -> DataFrame:
     """Per boundary: original, preserved, optimized and reviewed checks."""
-    protected = policy["protected_boundaries"]
-    none = F.lit(None).cast("string")
-    listed = (trace.sparkSession.range(1)
-              .select(F.explode(F.array(*[F.lit(b) for b in protected])).alias("trust_boundary"),
-                      F.lit(0).alias("ran"), none.alias("decision")))
-    ledger = (trace.select("trust_boundary", F.lit(1).alias("ran"), none.alias("decision"))
-              .unionByName(plan.filter("step_id <> -1").select(
-                  "trust_boundary", F.lit(0).alias("ran"), F.col("recommended_decision").alias("decision")))
-              .unionByName(listed))
-    decision = F.col("decision")
-    kept = (decision == KEEP) | (isin("trust_boundary", protected) & (decision == REVIEW))
-    counts = ledger.groupBy("trust_boundary").agg(
-        F.sum("ran").alias("original_checks"), F.count_if(kept).alias("preserved_checks"),
-        F.count_if(decision.isin(SKIP, REUSE)).alias("optimized_checks"),
-        F.count_if(decision == REVIEW).alias("human_review_checks"))
+    listed = (rows.sparkSession.range(1)
+              .select(F.explode(F.array(*[F.lit(b) for b in policy["protected_boundaries"]])).alias("trust_boundary"), F.lit(True).alias("listed")))
+    names = {"original_guardrail_calls": "original_checks", "checks_preserved": "preserved_checks",
+             "redundant_paths_optimized": "optimized_checks", "checks_reviewed": "human_review_checks", "real_rows": "real_rows"}
+    counts = rows.unionByName(listed, allowMissingColumns=True).groupBy("trust_boundary").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in names.items()], F.max("listed").alias("listed"))
+    # a recommendation alone makes no row of its boundary
+    counts = counts.filter("original_checks > 0 OR real_rows > 0 OR listed")
     return counts.select(
         "trust_boundary", "original_checks", "preserved_checks",
         _percent(F.col("preserved_checks"), F.col("original_checks"), 100.0).alias("coverage_percent"),

@@ -10,7 +10,7 @@ from hopsight import schema
 from hopsight.operators import features as feature_ops, graph, paths, plan as plan_ops, redundancy
 from hopsight.operators.path_checks import HEAVY_ROWS, PathChecks
 from hopsight.plans import audit, explain, metrics as metric_ops, serving
-from hopsight.policy import DEFAULT_POLICY
+from hopsight.policy import completed
 from hopsight.schema import KEY
 from hopsight.session import persist, tune
 from hopsight.sources import sinks
@@ -28,10 +28,11 @@ class Analysis:
                  heavy_rows: int = HEAVY_ROWS, max_hops: int | None = None, max_paths: int | None = None,
                  dense_paths: int = paths.DENSE_PATHS):
         tune(trace.sparkSession)
+        trace = schema.admit_trace(trace)
         self.trace = trace if scenario is None else trace.filter(F.col("workflow_template") == scenario)
         if "edge_risk_level" not in trace.columns:
             self.trace = self.trace.withColumn("edge_risk_level", F.col("risk_level"))
-        self.policy = policy or DEFAULT_POLICY
+        self.policy = completed(policy or {})
         self.strict = strict
         self._limits = (wide_edges, heavy_rows, max_hops, max_paths, dense_paths)
         self._held: list[DataFrame] = []
@@ -92,17 +93,22 @@ class Analysis:
     def features(self) -> DataFrame:
         return self._hold(feature_ops.workflow_features(self.path_checks, self.policy["risk_score_weights"]))
 
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """Sums per workflow and boundary that metrics, scenarios and the boundary matrix share."""
+        return self._hold(metric_ops.ledger(self.trace, self.plan, self.policy))
+
     @cached_property
     def metrics(self) -> DataFrame:
-        return metric_ops.metrics(self.trace, self.plan, self.features, self.policy)
+        return metric_ops.metrics(self.ledger, self.features)
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return metric_ops.scenario_metrics(self.trace, self.plan, self.policy)
+        return metric_ops.scenario_metrics(self.ledger)
 
     @cached_property
     def boundary_matrix(self) -> DataFrame:
-        return metric_ops.boundary_matrix(self.trace, self.plan, self.policy)
+        return metric_ops.boundary_matrix(self.ledger, self.policy)
 
     @cached_property
     def request_times(self) -> DataFrame:
@@ -123,17 +129,25 @@ class Analysis:
         """Worth its space when plan, redundancy and features are all wanted: one shuffle for three."""
         self.path_checks.hold(self._hold)
 
-    def write(self, folder: str, format: str = "parquet", top_n: int = 25) -> None:
-        """Check contracts and gates first, then write every table; a failed gate writes nothing."""
-        schema.require_trace(self.trace)
-        self.hold_checks()
-        schema.require_plan(self.plan)
-        schema.require_redundant(self.redundant)
+    def write(self, folder: str, format: str = "parquet", top_n: int = 25) -> dict[str, dict[str, int]]:
+        """Stage every table, check contracts and gates on what was staged, then publish all of it or nothing.
+
+        Returns the rows and rows without a key that were counted while each table was written. A failure before the end,
+        also of a contract or a gate, leaves an earlier result in `folder` whole.
+        """
+        schema.require_columns(self.plan, schema.PLAN_REQUIRED, "plan")
+        schema.require_columns(self.redundant, schema.REDUNDANT_REQUIRED, "redundant checks")
         schema.require_metrics(self.metrics)
-        metric_ops.enforce_gate(self.metrics)
-        metric_ops.enforce_matrix_gate(self.boundary_matrix, self.policy)
-        sinks.write_tables(folder, {
+        self.hold_checks()
+        tables = {
             "graph_nodes": self.nodes, "graph_edges": self.edges, "workflow_graph_summary": self.features,
             "redundant_paths": self.redundant, "optimized_plan": self.plan,
-            "boundary_coverage_matrix": self.boundary_matrix, "scenario_metrics": self.scenarios}, format)
-        sinks.write_tables(folder, {"metrics": self.metrics, "explanations": self.explanations(top_n)}, "json")
+            "boundary_coverage_matrix": self.boundary_matrix, "scenario_metrics": self.scenarios}
+        with sinks.Staged(self.trace.sparkSession, folder) as staged:
+            counted = staged.write(tables, format) | staged.write({"metrics": self.metrics, "explanations": self.explanations(top_n)}, "json")
+            for name in ("graph_edges", "optimized_plan"):  # every check of the trace is on an edge
+                schema.require_rows(counted[name]["rows"], {"graph_edges": "trace", "optimized_plan": "plan"}[name])
+            metric_ops.enforce_gate(staged.read("metrics", "json", self.metrics.schema))
+            metric_ops.enforce_matrix_gate(staged.read("boundary_coverage_matrix", format, self.boundary_matrix.schema), self.policy)
+            staged.publish(counted)
+        return counted

@@ -46,3 +46,9 @@ def with_overrides(**changes) -> dict:
     if unknown:
         raise KeyError(f"unknown policy entries {sorted(unknown)}")
     return {**deepcopy(DEFAULT_POLICY), **changes}
+
+
+def completed(policy: dict) -> dict:
+    """`policy` with the default for every entry, and every risk weight, that it does not give."""
+    given = with_overrides(**policy)
+    return {**given, "risk_score_weights": {**DEFAULT_POLICY["risk_score_weights"], **given["risk_score_weights"]}}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 KEY = ["workflow_id", "request_id"]
 MONEY = T.DecimalType(18, 6)
@@ -66,8 +68,8 @@ class ContractError(ValueError):
     """A table lacks a column, carries it in a wrong type, or has no rows."""
 
 
-def require(df: DataFrame, expected: dict[str, str], table: str) -> DataFrame:
-    """Raise unless `df` has every expected column in its type and at least one row."""
+def require_columns(df: DataFrame, expected: dict[str, str], table: str) -> DataFrame:
+    """Raise unless `df` has every expected column in its type; runs no job."""
     actual = dict(df.dtypes)
     missing = sorted(set(expected) - set(actual))
     if missing:
@@ -75,13 +77,53 @@ def require(df: DataFrame, expected: dict[str, str], table: str) -> DataFrame:
     wrong = {c: actual[c] for c, t in expected.items() if actual[c] != t}
     if wrong:
         raise ContractError(f"{table} has wrong types {wrong}; expected {({c: expected[c] for c in wrong})}")
-    if df.isEmpty():
+    return df
+
+
+def require_rows(n: int, table: str) -> None:
+    """Raise for a table of which no rows were counted."""
+    if not n:
         raise ContractError(f"{table} has zero rows")
+
+
+def require(df: DataFrame, expected: dict[str, str], table: str) -> DataFrame:
+    """Raise unless `df` has every expected column in its type and at least one row."""
+    require_columns(df, expected, table)
+    require_rows(int(not df.isEmpty()), table)
     return df
 
 
+def _expected_trace() -> dict[str, str]:
+    return {c: TRACE[c].dataType.simpleString() for c in TRACE_REQUIRED}
+
+
 def require_trace(df: DataFrame) -> DataFrame:
-    return require(df, {c: TRACE[c].dataType.simpleString() for c in TRACE_REQUIRED}, "trace")
+    return require(df, _expected_trace(), "trace")
+
+
+_WHOLE = (T.ByteType, T.ShortType, T.LongType)
+
+
+def admit_trace(df: DataFrame) -> DataFrame:
+    """A trace whose required columns are there in their types; runs no job.
+
+    Steps of another whole-number type are taken as they are read: one that is no int raises then.
+    """
+    if "step_id" in df.columns and isinstance(df.schema["step_id"].dataType, _WHOLE):
+        step = F.col("step_id")
+        narrow = step.try_cast("int")
+        df = df.withColumn("step_id", F.when(step.isNotNull() & narrow.isNull(), F.raise_error(
+            F.concat(F.lit("step_id is no int: "), step.cast("string"))).cast("int")).otherwise(narrow))
+    return require_columns(df, _expected_trace(), "trace")
+
+
+def contract_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows, and the rows without a key, a step, a check type or a boundary): one row a table, from one pass over it."""
+    parts = [df.agg(F.count("*").alias("rows"), F.count_if(F.col("workflow_id").isNull() | F.col("request_id").isNull()).alias("without_key"),
+                    *[F.count_if(F.col(c).isNull()).alias(f"without_{c}") if c in df.columns else F.lit(None).cast("long").alias(f"without_{c}")
+                      for c in ("step_id", "guardrail_type", "trust_boundary")])
+             .select(F.lit(name).alias("table"), "*") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def require_plan(df: DataFrame) -> DataFrame:

@@ -196,6 +196,24 @@ def test_dense_answers_equal_the_listing(spark):
     assert results(spark, rows, dense_paths=4) == results(spark, rows)
 
 
+def test_a_long_chain_takes_few_jobs(spark):
+    """2,000 hops, with a branch, a dead end and a cycle without a way in: doubling, not a job a hop."""
+    rows = [row(1, "User", "n0")] + [row(i + 2, f"n{i}", f"n{i + 1}") for i in range(1998)]
+    rows += [row(2000, "n1998", "FinalAnswer"), row(2001, "n700", "side"), row(2002, "side", "n900"), row(2003, "n1000", "dead"), row(2004, "c0", "c1"), row(2005, "c1", "c0")]
+    sc = spark.sparkContext
+    sc.setJobGroup("chain", "long chain")
+    a = Analysis(traces.frame(spark, rows))
+    paths = {r.path_id: r for r in a.paths.collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("chain"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((i, len(r.path_nodes)) for i, r in paths.items()) == [("r_o2", 1003), ("r_o3", 805), ("r_p0", 2001), ("r_p1", 1803)]
+    assert paths["r_p0"].path_nodes == ["User", *[f"n{i}" for i in range(1999)], "FinalAnswer"] and paths["r_p0"].edge_ords == list(range(2000))
+    assert paths["r_o2"].path_nodes[-2:] == ["n1000", "dead"]
+    assert {(r.source_node, r.target_node) for r in audit.uncovered_edges(a.topologies).collect()} == {("c0", "c1"), ("c1", "c0")}
+    assert jobs < 120, jobs
+    a.release()
+
+
 def test_equal_shapes_share_one_topology(spark):
     rows = [{**r, "request_id": f"r{i}", "source_node": r["source_node"].replace("B", f"B{i}"),
              "target_node": r["target_node"].replace("B", f"B{i}")} for i in range(5) for r in MICRO["diamond"]]
