@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,20 +29,38 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables that `cut` wrote and nothing has deleted, in order.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: its lineage ends there, and it survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by `cut` that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/cut-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def result_of(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that `make` describes, written; the tables that were cut on the way are deleted."""
+    before = set(_written)
+    result = cut(make())
+    for path in [p for p in _written[:-1] if p not in before]:
+        _delete(result.sparkSession, path)
+        _written.remove(path)
+    return result
 
 
 def word_count(text: Column) -> Column:
