@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import fixtures
-from hopsight import session
+from hopsight import Analysis, session
 from hopsight.functions.ordered import large_groups
 
+from tests import traces
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,6 +18,10 @@ def size(folder) -> int:
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
 
 
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(workflow_id")
+
+
 def test_trace_is_small_and_large_orders_give_the_same_rows(spark, monkeypatch):
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
     before = size(folder)
@@ -26,6 +32,21 @@ def test_trace_is_small_and_large_orders_give_the_same_rows(spark, monkeypatch):
     assert sorted(map(str, again.collect())) == sorted(map(str, trace.collect()))
 
 
+def test_stages_by_key_shuffle_nothing(spark):
+    a = Analysis(fixtures.order_trace(spark, SF))
+    for table in (a.nodes, a.edges, a.paths, a.features, a.redundant, a.plan):
+        assert exchanges(table) == 0
+    a.release()
+
+
+def test_large_keys_are_not_stored_by_key(spark):
+    trace = traces.frame(spark, traces.clean())
+    whole, large = Analysis(trace), Analysis(trace, heavy_rows=1)
+    assert whole._tasks is not None and large._tasks is None
+    assert sorted(map(str, whole.plan.collect())) == sorted(map(str, large.plan.collect()))
+    whole.release(), large.release()
+
+
 @pytest.mark.parametrize("rows", [1, 7, 1000])
 def test_large_groups_are_counted_exactly(spark, rows):
     df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.floor(F.sqrt("id"))).alias("g"))
