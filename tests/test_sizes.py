@@ -39,6 +39,17 @@ def test_stages_by_key_shuffle_nothing(spark):
     a.release()
 
 
+def test_order_trace_is_shuffled_once(spark):
+    a = Analysis(fixtures.order_trace(spark, SF))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = size(folder)
+    for table in (a.keyed, a.nodes, a.edges):
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    assert size(folder) == before
+    assert session.buckets_of(a.trace, ["workflow_id"]) is None
+    a.release()
+
+
 def test_large_keys_are_not_stored_by_key(spark):
     trace = traces.frame(spark, traces.clean())
     whole, large = Analysis(trace), Analysis(trace, heavy_rows=1)
