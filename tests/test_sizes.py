@@ -50,6 +50,14 @@ def test_order_trace_is_shuffled_once(spark):
     a.release()
 
 
+def test_stored_shapes_hold_nothing_twice(spark):
+    a = Analysis(fixtures.order_trace(spark, SF))
+    fields = spark.read.parquet(*a.topologies.keys.inputFiles()).schema
+    assert not {"step_id", "tie"} & set(fields["hops"].dataType.elementType.names)
+    assert {fields[c].dataType.simpleString() for c in ("kinds", "links")} == {"string"}
+    a.release()
+
+
 def test_large_keys_are_not_stored_by_key(spark):
     trace = traces.frame(spark, traces.clean())
     whole, large = Analysis(trace), Analysis(trace, heavy_rows=1)
