@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import fixtures
 from hopsight import Analysis, session
 from hopsight.functions.ordered import large_groups
+from hopsight.operators import paths, plan as plan_ops
 
 from tests import traces
 
@@ -78,3 +79,35 @@ def test_partitions_grow_with_the_rows(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert session.tasks_for(spark, 10) == least
     assert session.tasks_for(spark, 1000 * session.TASK_ROWS) == 1000
+
+
+def operators(df, name) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_checks_meet_their_edges_without_a_sort(spark):
+    a = Analysis(fixtures.order_trace(spark, SF))
+    part = a.path_checks.parts[0]
+    assert operators(part.on_edges(), "ShuffledHashJoin") == 1 and operators(part.on_edges(), "Sort") == 0
+    large = Analysis(fixtures.order_trace(spark, SF).select("*"), heavy_rows=1)
+    assert all(operators(p.on_edges(), "ShuffledHashJoin") == 0 for p in large.path_checks.parts)
+    a.release(), large.release()
+
+
+def test_stored_shapes_keep_what_is_read(spark):
+    a = Analysis(fixtures.order_trace(spark, SF))
+    hops = spark.read.parquet(*a.topologies.keys.inputFiles()).schema["hops"].dataType.elementType
+    assert len(hops.names) == len(paths.EDGE_COLUMNS) and "first" not in hops.names
+    gaps = plan_ops.missing_final_rows(a.topologies.keys)
+    assert operators(gaps, "Aggregate") == operators(gaps, "Join") == 0
+    a.release()
+
+
+def test_stored_by_loses_nothing_with_few_open_writers(spark):
+    rows = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    before, seen = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"), []
+    for dealt in (rows.repartition(8, "k"), rows):  # also with a bucket in every task
+        found = session.stored_by(dealt, ["k"], 8)
+        assert sorted(found.collect()) == sorted(rows.collect())
+        seen.append(operators(found.groupBy("k").count(), "Exchange"))
+    assert seen == [0, 0] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
