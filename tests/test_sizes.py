@@ -9,6 +9,7 @@ from checks import fixtures
 from hopsight import Analysis, session
 from hopsight.functions.ordered import large_groups
 from hopsight.operators import paths, plan as plan_ops
+from hopsight.plans import explain
 
 from tests import traces
 
@@ -111,3 +112,24 @@ def test_stored_by_loses_nothing_with_few_open_writers(spark):
         assert sorted(found.collect()) == sorted(rows.collect())
         seen.append(operators(found.groupBy("k").count(), "Exchange"))
     assert seen == [0, 0] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_explanations_plan_only_the_workflows_they_name(spark, monkeypatch):
+    a = Analysis(fixtures.order_trace(spark, SF))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(workflow):
+        seen.add(1)
+        return True
+
+    a.plan_with_paths = a.plan_with_paths.filter(counted("workflow_id"))
+    told, read = [], []
+    for most in (explain.NAMED_WORKFLOWS, 0):
+        monkeypatch.setattr(explain, "NAMED_WORKFLOWS", most)
+        before = seen.value
+        told.append(a.explanations(5).collect())
+        read.append(seen.value - before)
+    assert told[0] == told[1]
+    assert 3 * read[0] < 2 * read[1], read
+    a.release()
