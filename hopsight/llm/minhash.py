@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import words as w
-from .common import components, cut, read
+from .common import components, cut, measured, read
 
 BANDS, ROWS = 24, 5
 PIECE = 4 << 20
@@ -215,26 +215,26 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     size = shared.select("sid", "n").distinct()
     by_leader = shared.join(size.select(F.col("sid").alias("leader"), F.col("n").alias("nl")), "leader")
     shared = shared.select("key", "sid", "n")
-    links = labels = tested = None
+    labels = tested = None
     open_, turn = by_leader.withColumn("label", F.col("sid")).withColumn("ll", F.col("leader")), 0
     while True:
         pairs = (open_.filter((F.col("label") != F.col("ll")) & _sizes_allow(F.col("n"), F.col("nl"), percent))
                  .select(F.greatest("sid", "leader").alias("a"), F.least("sid", "leader").alias("b")).distinct())
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        new = cut(_verified(pairs, sets, percent))
-        links, tested = (new, pairs) if links is None else (links.unionByName(new), tested.unionByName(pairs))
-        labels = components(links)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links, new = measured(_verified(pairs, sets, percent))
+        if labels is None or new["rows"]:  # else all is as it was
+            labels = components(links, labels)
+            rows, left = measured(_labelled(shared, labels))
         turn += 1
-        rows = cut(_labelled(shared, labels))
-        found = new.limit(1).count()
-        if turn >= ROUNDS or not found or not rows.limit(1).count():
+        if turn >= ROUNDS or not new["rows"] or not left["rows"]:
             break
         order = F.xxhash64("key", "sid", F.lit(turn))
         leader = rows.groupBy("key").agg(F.min_by(F.struct("sid", "n", "label"), order).alias("x"))
         leader = leader.select("key", F.col("x.sid").alias("leader"), F.col("x.n").alias("nl"), F.col("x.label").alias("ll"))
         open_ = rows.join(leader, "key")
-    if rows.limit(1).count():
-        labels = components(links.unionByName(cut(_rest(rows, sets, percent))))
+    if left["rows"]:
+        labels = components(_rest(rows, sets, percent), labels)
     marked = (base.select("row_key", "doc_id", "n", "sid").join(labels, F.col("sid") == F.col("node"), "left")
               .withColumn("label", F.when(F.col("n") > 0, F.coalesce("component", "sid"))))
     linked = marked.filter("n > 0")

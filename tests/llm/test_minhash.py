@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from hopsight.llm import minhash
+from hopsight.llm.common import components
 
 
 def shingles(text, k):
@@ -74,3 +75,25 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == [(False, 1), (False, 2), (False, 4), (True, 0)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.dedup(empty).collect() == [] and minhash.groups(empty).collect() == []
+
+
+def test_earlier_components_are_merged_not_computed_anew(spark):
+    rng = random.Random(5)
+    schema = "u long, v long"
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(30)] + [(i, i + 1) for i in range(100, 130)]
+    for second in ([(rng.randrange(90), rng.randrange(90)) for _ in range(25)] + [(129, 7), (200, 201)], [(100, 130)], []):
+        known = components(spark.createDataFrame(first, schema))
+        whole = components(spark.createDataFrame(first + second, schema))
+        merged = components(spark.createDataFrame(second, schema), known)
+        assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_rounds_take_few_jobs(spark):
+    """The driver keeps something of every job, and each round of leaders used to run all components again."""
+    df = spark.createDataFrame(corpus(35, 6), "doc_id long, text string").repartition(3).localCheckpoint()
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        minhash.groups(df, 3, 85).collect()
+    finally:
+        spark.sparkContext.setJobGroup(None, None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) < 100
