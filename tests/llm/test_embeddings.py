@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hopsight.llm import embeddings
 
@@ -44,3 +46,24 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0], "a"), (7, [1.0, 0.0], None), (None, None, "b")], schema)
     assert sorted(map(str, map(tuple, embeddings.near_duplicates(df).collect()))) == [
         "(7, 1, 7, True)", "(None, 0, None, True)", "(None, 1, 7, False)"]
+
+
+def test_near_uniform_vectors_are_stored_once(spark, monkeypatch):
+    """Vectors are not copied into cells, also where a link could lie across most of them."""
+    monkeypatch.setattr(embeddings, "PER_CELL", 100)
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(6000, 64)).astype(np.float32)
+    vectors[5000:] = vectors[:1000] + rng.normal(size=(1000, 64)) * rng.choice([.1, .25, .32], (1000, 1))
+    stored = []
+
+    def counted(df, cut=embeddings.cut):
+        out = cut(df)
+        stored.extend(out.agg(F.sum(F.length(c))).first()[0] or 0 for c, kind in out.dtypes if kind == "binary")
+        return out
+    monkeypatch.setattr(embeddings, "cut", counted)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(6000)), "embedding": pa.array(list(vectors))}))
+    found = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    units = embeddings.unit(vectors)
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    assert 400 < links.sum() < 2000 and [found[i].n_links for i in range(6000)] == links.tolist()
+    assert sum(stored) < 1.5 * vectors.nbytes
