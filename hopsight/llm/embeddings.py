@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import components, cut, discard, read
@@ -27,7 +28,7 @@ PER_CELL, MAX_CELLS, SAMPLE_PER_CELL, MAX_SAMPLE, FITS = 1024, 16384, 32, 1 << 1
 #: Products of a round of fitting at most, so that many cells are fitted in fewer rounds.
 FIT_WORK = 1 << 31
 #: Components of the vectors that a task holds, that it reads before it compares, and of those in a stored row.
-HELD, READ, PACKED = 1 << 24, 1 << 21, 1 << 14
+HELD, READ, PACKED = 1 << 23, 1 << 21, 1 << 14
 #: Groups of cells that one job goes through; vectors of a cell that are compared at once.
 WAVE, BLOCK = 64, 256
 #: Leading components that bound a cosine.
@@ -149,7 +150,7 @@ def _edges(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
         top = new
 
 
-def _compare(dim: int, threshold: float, centroids: np.ndarray, leading: np.ndarray) -> Callable:
+def _compare(dim: int, threshold: float, shared: Broadcast) -> Callable:
     """Of the cells of a group, which come first, and all vectors: counts of links and edges (vid, links, edge), and the cells' cores (vid, links as weight, cell)."""
     core = math.sqrt((1 + threshold) / 2) + _margin(dim)
     space = np.empty(2 * BLOCK * BLOCK, np.float32)
@@ -161,6 +162,7 @@ def _compare(dim: int, threshold: float, centroids: np.ndarray, leading: np.ndar
 
     def met(held: Vectors, cells: list, bounds: np.ndarray, links: np.ndarray, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         """All links of the vectors in `rows` with the held ones that are nearer to their centroid."""
+        centroids, leading = shared.value
         seen = Vectors(rows, dim)
         x = seen.units()
         bounding, reach, out = _bounding(x, leading), _reach(seen.best, threshold, dim), []
@@ -225,7 +227,7 @@ def _compare(dim: int, threshold: float, centroids: np.ndarray, leading: np.ndar
                     if not own:
                         return
                     held, own = Vectors(own, dim, by_cell=True), None
-                    bounds, links = _bounding(held.units(), leading), np.zeros(len(held.vid), np.int64)
+                    bounds, links = _bounding(held.units(), shared.value[1]), np.zeros(len(held.vid), np.int64)
                     begins = np.flatnonzero(np.diff(held.cell, prepend=-1))
                     cells = [(int(held.cell[lo]), [(i, j := min(i + BLOCK, hi), held.best[i], held.best[j - 1], _reach(held.best[i:i + 1], threshold, dim)[0])
                                                    for i in range(lo, hi, BLOCK)]) for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(held.vid)], strict=True)]
@@ -246,14 +248,16 @@ def _compare(dim: int, threshold: float, centroids: np.ndarray, leading: np.ndar
 
 @contextmanager
 def _apart(spark: SparkSession) -> Iterator[None]:
-    """A union of tables of one partition each keeps these apart, as tasks of their own, instead of making one of them."""
-    key = "spark.sql.unionOutputPartitioning"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
+    """A union of tables of one partition each keeps these apart, as tasks of their own, instead of making one of them; packed rows are passed on few at a time."""
+    settings = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
@@ -273,13 +277,14 @@ def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     packed = nodes.select("vid", "weight", "e").mapInArrow(
         _place(centroids, *_deal(counts, groups)), "g long, n long, vids binary, weights binary, cells binary, best binary, vectors binary")
     placed = cut(packed.repartition(groups, "g"))
-    parts = []
+    parts, shared = [], spark.sparkContext.broadcast((centroids, leading))
     with _apart(spark):
         for lo in range(0, groups, WAVE):
             tasks = [placed.filter(F.col("g") == g).withColumn("own", F.lit(True)).unionByName(placed.withColumn("own", F.lit(False))).coalesce(1)
-                     .mapInArrow(_compare(dim, threshold, centroids, leading), "vid long, links long, edge long, cell int") for g in range(lo, min(lo + WAVE, groups))]
+                     .mapInArrow(_compare(dim, threshold, shared), "vid long, links long, edge long, cell int") for g in range(lo, min(lo + WAVE, groups))]
             parts.append(cut(reduce(DataFrame.unionByName, tasks)))
     discard(placed)
+    shared.destroy()
     found = reduce(DataFrame.unionByName, parts)
     core = found.filter("cell IS NOT NULL").select("cell", "vid", F.col("links").alias("weight"))
     whole = F.broadcast(core.groupBy("cell").agg(F.sum("weight").alias("all"), F.min("vid").alias("edge")))  # a row a cell

@@ -67,3 +67,15 @@ def test_near_uniform_vectors_are_stored_once(spark, monkeypatch):
     links = (units @ units.T >= 0.95).sum(axis=1) - 1
     assert 400 < links.sum() < 2000 and [found[i].n_links for i in range(6000)] == links.tolist()
     assert sum(stored) < 1.5 * vectors.nbytes
+
+
+def test_large_cells_are_dealt_to_several_tasks(spark, monkeypatch):
+    for name, value in (("PER_CELL", 200), ("HELD", 256), ("WAVE", 5), ("READ", 512), ("PACKED", 64)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(2, 8))
+    rows = [(i, (centre[int(i % 9 == 0)] + rng.choice([.05, .3]) * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(400)]
+    settings = {k: spark.conf.get(k, None) for k in ("spark.sql.unionOutputPartitioning", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == brute(rows, 0.95)
+    assert settings == {k: spark.conf.get(k, None) for k in settings}
